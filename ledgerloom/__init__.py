@@ -1,0 +1 @@
+"""Structured extraction from documents as Spark DataFrames."""
