@@ -2,9 +2,24 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+
+from ledgerloom.operators import nested, timestamps
+from ledgerloom.session import table
+
+
+def p2_found(spark: SparkSession, root: str) -> DataFrame:
+    items = nested.tagged_items(*(table(spark, root, t) for t in ("invoices", "receipts", "harvests")), payload=False)
+    return items.where("tag <> 'unreadable'").select("parent_table", "parent_id", "result_no", "item_no", "parent_item_no")
+
+
+def p5_found(spark: SparkSession, root: str) -> DataFrame:
+    systems = table(spark, root, "source_systems")
+    return timestamps.days(table(spark, root, "invoices"), systems, ("date", "due_date")).unionByName(timestamps.instants(table(spark, root, "receipts"), systems))
+
 
 def queries() -> dict:
-    return {}
+    return {"p2_found": p2_found, "p5_found": p5_found}
 
 
 def oracle_sql() -> dict[str, str]:
