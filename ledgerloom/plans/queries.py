@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerloom.operators import nested, timestamps
+from ledgerloom.operators import nested, timestamps, units
 from ledgerloom.session import table
 
 
+def p1_found(spark: SparkSession, root: str) -> DataFrame:
+    return units.usd_cents(*(table(spark, root, t) for t in ("invoices", "receipts", "harvests", "source_systems", "currencies")))
+
+
 def p2_found(spark: SparkSession, root: str) -> DataFrame:
     items = nested.tagged_items(*(table(spark, root, t) for t in ("invoices", "receipts", "harvests")), payload=False)
     return items.where("tag <> 'unreadable'").select("parent_table", "parent_id", "result_no", "item_no", "parent_item_no")
@@ -19,7 +23,7 @@ def p5_found(spark: SparkSession, root: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"p2_found": p2_found, "p5_found": p5_found}
+    return {"p1_found": p1_found, "p2_found": p2_found, "p5_found": p5_found}
 
 
 def oracle_sql() -> dict[str, str]:
