@@ -4,16 +4,20 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerloom.llm import tokens
+from ledgerloom.llm import canonical, tokens
 from ledgerloom.session import table
 
 
+def p4_found(spark: SparkSession, root: str) -> DataFrame:
+    return canonical.canonical(*(table(spark, root, t) for t in ("invoices", "receipts", "source_systems", "currencies", "payment_methods")))
+
+
 def p8_ids(spark: SparkSession, root: str) -> DataFrame:
     return tokens.encode_corpus(table(spark, root, "documents"))
 
 
 def queries() -> dict:
-    return {"p8_ids": p8_ids}
+    return {"p4_found": p4_found, "p8_ids": p8_ids}
 
 
 def oracle_sql() -> dict[str, str]:
