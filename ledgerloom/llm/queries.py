@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerloom.llm import canonical, tokens
+from ledgerloom.llm import canonical, names, tokens
 from ledgerloom.session import table
 
 
+def p3_found(spark: SparkSession, root: str) -> DataFrame:
+    return names.same_names(table(spark, root, "invoices"), table(spark, root, "receipts"))
+
+
 def p4_found(spark: SparkSession, root: str) -> DataFrame:
     return canonical.canonical(*(table(spark, root, t) for t in ("invoices", "receipts", "source_systems", "currencies", "payment_methods")))
 
@@ -17,7 +21,7 @@ def p8_ids(spark: SparkSession, root: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"p4_found": p4_found, "p8_ids": p8_ids}
+    return {"p3_found": p3_found, "p4_found": p4_found, "p8_ids": p8_ids}
 
 
 def oracle_sql() -> dict[str, str]:
