@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerloom.llm import canonical, names, tokens
+from ledgerloom.llm import addresses, canonical, names, tokens
 from ledgerloom.session import table
 
 
@@ -16,12 +16,16 @@ def p4_found(spark: SparkSession, root: str) -> DataFrame:
     return canonical.canonical(*(table(spark, root, t) for t in ("invoices", "receipts", "source_systems", "currencies", "payment_methods")))
 
 
+def p6_found(spark: SparkSession, root: str) -> DataFrame:
+    return addresses.same_addresses(table(spark, root, "invoices"), table(spark, root, "receipts"))
+
+
 def p8_ids(spark: SparkSession, root: str) -> DataFrame:
     return tokens.encode_corpus(table(spark, root, "documents"))
 
 
 def queries() -> dict:
-    return {"p3_found": p3_found, "p4_found": p4_found, "p8_ids": p8_ids}
+    return {"p3_found": p3_found, "p4_found": p4_found, "p6_found": p6_found, "p8_ids": p8_ids}
 
 
 def oracle_sql() -> dict[str, str]:
