@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerloom.llm import addresses, canonical, names, tokens
+from ledgerloom.llm import addresses, canonical, names, pii, tokens
 from ledgerloom.session import table
 
 
@@ -20,12 +20,19 @@ def p6_found(spark: SparkSession, root: str) -> DataFrame:
     return addresses.same_addresses(table(spark, root, "invoices"), table(spark, root, "receipts"))
 
 
+def p7_found(spark: SparkSession, root: str) -> DataFrame:
+    invoices, receipts, harvests = (table(spark, root, t) for t in ("invoices", "receipts", "harvests"))
+    known = names.spellings([(invoices, ("vendor_address", "customer_address")), (receipts, ("merchant_address",))])
+    found = pii.mentions(pii.free_texts(invoices, harvests), pii.gazetteer(known))
+    return found.select("field", "row_id", "result_no", "pii_type", "value").distinct()
+
+
 def p8_ids(spark: SparkSession, root: str) -> DataFrame:
     return tokens.encode_corpus(table(spark, root, "documents"))
 
 
 def queries() -> dict:
-    return {"p3_found": p3_found, "p4_found": p4_found, "p6_found": p6_found, "p8_ids": p8_ids}
+    return {"p3_found": p3_found, "p4_found": p4_found, "p6_found": p6_found, "p7_found": p7_found, "p8_ids": p8_ids}
 
 
 def oracle_sql() -> dict[str, str]:
