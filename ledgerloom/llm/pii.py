@@ -187,7 +187,7 @@ def _name(text: str, begin: int, end: int, form: str) -> tuple[int, int, str, di
     if FIRM.match(after) or re.search(r"(?i)\b(?:ltd|gmbh|llc|inc|sarl|& co)\b", value):
         f["NAME:firm"] = 1.0
     words = [w.strip(".,").lower() for w in value.split()]
-    if (words[0] in _NOT_NAME and form != "given_first") or words[0] in _TITLE_WORDS or any(w in _NOT_NAME and w != "bill" for w in words[1:]):
+    if (words[0] in _NOT_NAME and form != "given_first") or (words[0] in _TITLE_WORDS and (words[0], form) != ("m", "initials")) or any(w in _NOT_NAME and w != "bill" for w in words[1:]):
         f["NAME:common"] = 1.0
     return begin, end, "NAME", f
 

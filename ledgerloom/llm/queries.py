@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerloom.llm import addresses, canonical, names, pii, tokens
+from ledgerloom.llm import addresses, canonical, mixing, names, pii, splitting, tokens
 from ledgerloom.session import table
 
 
@@ -31,8 +31,21 @@ def p8_ids(spark: SparkSession, root: str) -> DataFrame:
     return tokens.encode_corpus(table(spark, root, "documents"))
 
 
+def p9_mix(spark: SparkSession, root: str) -> DataFrame:
+    return mixing.mixed(table(spark, root, "documents"), table(spark, root, "mix_targets"))
+
+
+def p9_report(spark: SparkSession, root: str) -> DataFrame:
+    targets = table(spark, root, "mix_targets")
+    return mixing.report(mixing.mixed(table(spark, root, "documents"), targets), targets)
+
+
+def p10_pieces(spark: SparkSession, root: str) -> DataFrame:
+    return splitting.split(table(spark, root, "documents"), table(spark, root, "split_limits"))
+
+
 def queries() -> dict:
-    return {"p3_found": p3_found, "p4_found": p4_found, "p6_found": p6_found, "p7_found": p7_found, "p8_ids": p8_ids}
+    return {"p3_found": p3_found, "p4_found": p4_found, "p6_found": p6_found, "p7_found": p7_found, "p8_ids": p8_ids, "p9_mix": p9_mix, "p9_report": p9_report, "p10_pieces": p10_pieces}
 
 
 def oracle_sql() -> dict[str, str]:
