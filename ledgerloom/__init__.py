@@ -1 +1,12 @@
 """Structured extraction from documents as Spark DataFrames."""
+
+from ledgerloom.functions.schemas import SCHEMAS, InvoiceData, LineItem, ReceiptData, schema_by_name
+from ledgerloom.operators.extract import call_rows, extract
+from ledgerloom.providers.base import AnthropicProvider, Completion, OllamaProvider, OpenAIProvider, Provider, StubProvider, make, resolve
+from ledgerloom.sources.documents import from_contents, from_paths, from_texts, routed
+
+__version__ = "0.1.0"
+__all__ = [
+    "SCHEMAS", "AnthropicProvider", "Completion", "InvoiceData", "LineItem", "OllamaProvider", "OpenAIProvider", "Provider", "ReceiptData", "StubProvider",
+    "call_rows", "extract", "from_contents", "from_paths", "from_texts", "make", "resolve", "routed", "schema_by_name",
+]

@@ -2,11 +2,20 @@
 
 from __future__ import annotations
 
+import datetime
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from ledgerloom.operators import nested, timestamps, units
+from ledgerloom.functions import schemas
+from ledgerloom.functions import text as tx
+from ledgerloom.operators import extract, ledger, nested, timestamps, units
+from ledgerloom.providers.base import StubProvider
 from ledgerloom.session import table
 
+AS_OF = datetime.datetime(2024, 12, 31)
+DOCUMENT_LIMIT, DAY_LIMIT = 4_000_000, 40_000_000  # 1e-8 USD
+
 
 def p1_found(spark: SparkSession, root: str) -> DataFrame:
     return units.usd_cents(*(table(spark, root, t) for t in ("invoices", "receipts", "harvests", "source_systems", "currencies")))
@@ -17,14 +26,117 @@ def p2_found(spark: SparkSession, root: str) -> DataFrame:
     return items.where("tag <> 'unreadable'").select("parent_table", "parent_id", "result_no", "item_no", "parent_item_no")
 
 
+def p2_items(spark: SparkSession, root: str) -> DataFrame:
+    return column_rows(spark, root)
+
+
+def column_rows(spark: SparkSession, root: str) -> DataFrame:
+    rows = nested.column_items(table(spark, root, "invoices"), "record_id", "line_items", "invoices", "invoice_item")
+    item = F.from_json("payload", nested.ITEM)
+    return rows.select("parent_id", "item_no", item["name"].alias("name"), item["amount"].alias("amount"), item["quantity"].alias("quantity"))
+
+
 def p5_found(spark: SparkSession, root: str) -> DataFrame:
     systems = table(spark, root, "source_systems")
     return timestamps.days(table(spark, root, "invoices"), systems, ("date", "due_date")).unionByName(timestamps.instants(table(spark, root, "receipts"), systems))
 
 
+def _calls(spark: SparkSession, root: str) -> DataFrame:
+    return ledger.priced(ledger.distinct_calls(table(spark, root, "api_calls")), table(spark, root, "models"))
+
+
+def _queries() -> dict:
+    as_of = F.lit(AS_OF)
+    documents = lambda s, d: table(s, d, "documents").where("text is not null")
+    paths = lambda s, d: table(s, d, "harvests").where("file_path is not null")
+    return {
+        "cost_by_model": lambda s, d: ledger.by_model(_calls(s, d)),
+        "cost_by_strategy": lambda s, d: ledger.by_strategy(_calls(s, d)),
+        "daily_cost": lambda s, d: ledger.by_day(_calls(s, d)),
+        "document_cost": lambda s, d: ledger.by_document(_calls(s, d)),
+        "call_cost": lambda s, d: _calls(s, d).select("call_id", "model", "cost_units"),
+        "ledger_totals": lambda s, d: ledger.totals(_calls(s, d), as_of),
+        "cost_report": lambda s, d: ledger.report(_calls(s, d), as_of, 90),
+        "admit_per_document": lambda s, d: ledger.admit(_calls(s, d), F.col("document_id"), DOCUMENT_LIMIT),
+        "admit_daily": lambda s, d: ledger.admit(_calls(s, d), F.to_date("timestamp"), DAY_LIMIT),
+        "admit_both": lambda s, d: ledger.admit_both(_calls(s, d), DAY_LIMIT, DOCUMENT_LIMIT),
+        "truncate_documents": lambda s, d: documents(s, d).select("doc_id", F.length(tx.truncated(F.col("text"))).alias("chars"), F.md5(tx.truncated(F.col("text"))).alias("digest"), tx.was_truncated(F.col("text")).alias("was_truncated")),
+        "raw_prefix": lambda s, d: documents(s, d).select("doc_id", F.md5(tx.raw_prefix(F.col("text"))).alias("digest")),
+        "json_span": lambda s, d: documents(s, d).select("doc_id", F.md5(tx.json_span(F.col("text"))).alias("digest"), F.length(tx.json_span(F.col("text"))).alias("chars")),
+        "file_identity": lambda s, d: paths(s, d).select("harvest_id", tx.base_name(F.col("file_path")).alias("base"), tx.stem(F.col("file_path")).alias("stem"), tx.extension(F.col("file_path")).alias("ext"), tx.media_type(F.col("file_path")).alias("media_type"), tx.route(F.col("file_path")).alias("route")),
+        "text_prompt": lambda s, d: documents(s, d).select("doc_id", F.md5(schemas.text_prompt(F.col("text"), tx.document_type(F.lit("InvoiceData")), schemas.InvoiceData)).alias("digest")),
+        "vision_prompt": lambda s, d: table(s, d, "harvests").select(F.coalesce("document_type", F.lit("document")).alias("t")).distinct().select("t", F.md5(schemas.vision_prompt(F.col("t"), schemas.ReceiptData)).alias("digest")),
+        "model_catalog": lambda s, d: table(s, d, "models").select("name", "provider", "model_id", tx.strategy(F.col("provider")).alias("strategy"), "supports_vision"),
+        "models_by_provider": lambda s, d: table(s, d, "models").groupBy("provider").agg(F.array_join(F.sort_array(F.collect_list("name")), ",").alias("names")),
+        "strategy_success": lambda s, d: table(s, d, "harvests").select("harvest_id", F.size("extraction_results").alias("results"), F.size(F.filter("extraction_results", lambda r: r["success"])).alias("successes")).where("results >= 0"),
+        "cost_breakdown": lambda s, d: table(s, d, "harvests").select("harvest_id", F.explode("cost_breakdown").alias("strategy", "cost")),
+        "confidence_by_strategy": lambda s, d: table(s, d, "harvests").where("final_strategy is not null").groupBy("final_strategy").agg(F.count("*").alias("harvests"), F.count(F.when(F.col("success") & (F.col("final_confidence") >= 0.8), 1)).alias("high")),
+        "document_types": lambda s, d: table(s, d, "harvests").select(tx.given(F.col("document_type"), tx.document_type(F.lit("IDDocumentOutput"))).alias("document_type")).groupBy("document_type").agg(F.count("*").alias("n")),
+        "extract_stub": extract_stub,
+    }
+
+
+def extract_stub(spark: SparkSession, root: str) -> DataFrame:
+    """Raw invoice texts through the whole extraction with a provider that answers from the prompt's length."""
+    docs = table(spark, root, "invoices").where("notes is not null").select(F.col("record_id").alias("ord"), F.lit(None).cast("string").alias("path"), F.lit("t.txt").alias("filename"), "document_id", F.lit(None).cast("binary").alias("content"), F.col("notes").alias("text"), F.octet_length("notes").cast("long").alias("file_size_bytes"), F.lit(None).cast("string").alias("error"), F.lit("text").alias("route"), F.lit(None).cast("string").alias("media_type"))
+    make = lambda: StubProvider(lambda p: f'Here: {{"invoice_number": "N{len(p) % 97}", "total_amount": "{len(p)}.5"}} done')
+    out = extract.extract(docs, schemas.InvoiceData, make, "stub", "ollama")
+    return out.select(F.col("ord").alias("record_id"), "success", "document_type", F.col("data.invoice_number").alias("invoice_number"), F.col("data.total_amount").alias("total_amount"), F.size("calls").alias("calls"))
+
+
 def queries() -> dict:
-    return {"p1_found": p1_found, "p2_found": p2_found, "p5_found": p5_found}
+    return {"p1_found": p1_found, "p2_found": p2_found, "p5_found": p5_found, "p2_items": p2_items} | _queries()
+
+
+_PRICED = """WITH c AS (SELECT DISTINCT * FROM api_calls), p AS (SELECT name, CAST(round(input_price * 100) AS BIGINT) AS i, CAST(round(output_price * 100) AS BIGINT) AS o FROM models),
+calls AS (SELECT c.*, coalesce(c.input_tokens * p.i + c.output_tokens * p.o, 0)::BIGINT AS cost_units FROM c LEFT JOIN p ON c.model = p.name)"""
+_HEAD = "Extract structured data from this "
+
+
+def _sql_text(s: str) -> str:
+    return "'" + s.replace("'", "''") + "'"
+
+
+def _admit_sql(key: str, limit: int) -> str:
+    return f"""{_PRICED.replace("WITH", "WITH RECURSIVE", 1)},
+    k AS (SELECT {key} AS key, call_id, cost_units, row_number() OVER (PARTITION BY {key} ORDER BY timestamp, call_id) AS rn FROM calls),
+    f AS (SELECT key, call_id, rn, (cost_units <= {limit}) AS admitted, CASE WHEN cost_units <= {limit} THEN cost_units ELSE 0 END AS spent FROM k WHERE rn = 1 AND key IS NOT NULL AND key <> ''
+      UNION ALL SELECT k.key, k.call_id, k.rn, (f.spent + k.cost_units <= {limit}), CASE WHEN f.spent + k.cost_units <= {limit} THEN f.spent + k.cost_units ELSE f.spent END FROM f JOIN k ON k.key = f.key AND k.rn = f.rn + 1)
+    SELECT call_id, admitted FROM f UNION ALL SELECT call_id, true FROM k WHERE key IS NULL OR key = ''"""
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    types = schemas.InvoiceData
+    ask = f".\n\n{schemas.ASK}\n{schemas.field_lines(types)}\n\n{schemas.RULES}\n\nDocument text:\n"
+    vision = f" image.\n\n{schemas.ASK}\n{schemas.field_lines(schemas.ReceiptData)}\n\n{schemas.RULES}"
+    stamp = f"TIMESTAMP '{AS_OF}'"
+    note = "chr(10) || chr(10) || '[... ' || (length(substr(text, 4801, length(text) - 7200)) - length(replace(substr(text, 4801, length(text) - 7200), chr(10), ''))) || ' lines removed (' || (length(text) - 7200) || ' chars) ...]' || chr(10) || chr(10)"
+    cut = f"CASE WHEN length(text) <= 8000 THEN text ELSE substr(text, 1, 4800) || {note} || right(text, 2400) END"
+    brace = "CASE WHEN position('{' IN text) > 0 AND position('}' IN substr(text, position('{' IN text))) > 0 THEN substr(text, position('{' IN text), length(text) - position('}' IN reverse(text)) + 2 - position('{' IN text)) ELSE text END"
+    base = "regexp_extract(file_path, '([^/]*)/*$', 1)"
+    ext = f"lower(regexp_extract({base}, '^.+(\\.[^.]+)$', 1))"
+    return {
+        "cost_by_model": f"{_PRICED} SELECT model, count(*) AS calls, sum(cost_units)::BIGINT AS cost_units, sum(total_tokens)::BIGINT AS tokens FROM calls GROUP BY model",
+        "cost_by_strategy": f"{_PRICED} SELECT strategy, count(*) AS calls, sum(cost_units)::BIGINT AS cost_units FROM calls GROUP BY strategy",
+        "daily_cost": f"{_PRICED} SELECT CAST(timestamp AS DATE) AS day, count(*) AS calls, sum(cost_units)::BIGINT AS cost_units FROM calls GROUP BY 1",
+        "document_cost": f"{_PRICED} SELECT document_id, count(*) AS calls, sum(cost_units)::BIGINT AS cost_units FROM calls WHERE document_id IS NOT NULL AND document_id <> '' GROUP BY 1",
+        "call_cost": f"{_PRICED} SELECT call_id, model, cost_units FROM calls",
+        "ledger_totals": f"{_PRICED} SELECT count(*) AS total_calls, coalesce(sum(cost_units), 0)::BIGINT AS cost_units, coalesce(sum(total_tokens), 0)::BIGINT AS total_tokens, coalesce(sum(cost_units) FILTER (timestamp::DATE = {stamp}::DATE), 0)::BIGINT AS daily_cost_units, count(*) FILTER (timestamp::DATE = {stamp}::DATE) AS daily_calls, count(DISTINCT nullif(document_id, '')) AS documents FROM calls",
+        "cost_report": f"{_PRICED}, r AS (SELECT * FROM calls WHERE timestamp >= {stamp} - INTERVAL 90 DAYS), d AS (SELECT document_id, bool_and(success) AS ok FROM r WHERE document_id IS NOT NULL AND document_id <> '' GROUP BY 1) SELECT (SELECT count(*) FROM d) AS total_documents, (SELECT count(*) FROM d WHERE ok) AS successful_documents, (SELECT count(*) FROM d WHERE ok IS NOT TRUE) AS failed_documents, count(*) AS calls, coalesce(sum(cost_units), 0)::BIGINT AS cost_units, count(*) FILTER (strategy LIKE '%ollama' AND success) AS free_successes FROM r",
+        "admit_per_document": _admit_sql("document_id", DOCUMENT_LIMIT),
+        "admit_daily": _admit_sql("CAST(timestamp::DATE AS VARCHAR)", DAY_LIMIT),
+        "truncate_documents": f"SELECT doc_id, length({cut})::INT AS chars, md5({cut}) AS digest, length({cut}) < length(text) AS was_truncated FROM documents WHERE text IS NOT NULL",
+        "raw_prefix": "SELECT doc_id, md5(substr(text, 1, 500)) AS digest FROM documents WHERE text IS NOT NULL",
+        "json_span": f"SELECT doc_id, md5({brace}) AS digest, length({brace})::INT AS chars FROM documents WHERE text IS NOT NULL",
+        "file_identity": f"SELECT harvest_id, {base} AS base, CASE WHEN {ext} = '' THEN {base} ELSE regexp_extract({base}, '^(.+)\\.[^.]+$', 1) END AS stem, {ext} AS ext, CASE WHEN file_path = '' THEN 'image/jpeg' WHEN {ext} = '.jpg' THEN 'image/jpeg' ELSE 'image/' || replace({ext}, '.', '') END AS media_type, CASE WHEN {ext} IN ('.jpg', '.jpeg', '.png', '.gif', '.webp') THEN 'image' WHEN {ext} IN ('.txt', '.pdf') THEN 'text' END AS route FROM harvests WHERE file_path IS NOT NULL",
+        "text_prompt": f"SELECT doc_id, md5({_sql_text(_HEAD + 'invoice' + ask)} || text || chr(10) || chr(10) || 'JSON:') AS digest FROM documents WHERE text IS NOT NULL",
+        "vision_prompt": f"SELECT t, md5({_sql_text(_HEAD)} || t || {_sql_text(vision)}) AS digest FROM (SELECT DISTINCT coalesce(document_type, 'document') AS t FROM harvests)",
+        "model_catalog": "SELECT name, provider, model_id, CASE WHEN provider IN ('anthropic', 'openai', 'ollama') THEN 'llm_' || provider ELSE 'llm_anthropic' END AS strategy, supports_vision FROM models",
+        "models_by_provider": "SELECT provider, string_agg(name, ',' ORDER BY name) AS names FROM models GROUP BY provider",
+        "strategy_success": "SELECT harvest_id, len(extraction_results)::INT AS results, len(list_filter(extraction_results, lambda r: r.success))::INT AS successes FROM harvests WHERE extraction_results IS NOT NULL",
+        "cost_breakdown": "SELECT harvest_id, e.key AS strategy, e.value AS cost FROM (SELECT harvest_id, unnest(map_entries(cost_breakdown)) AS e FROM harvests)",
+        "confidence_by_strategy": "SELECT final_strategy, count(*) AS harvests, count(*) FILTER (success AND final_confidence >= 0.8) AS high FROM harvests WHERE final_strategy IS NOT NULL GROUP BY 1",
+        "document_types": "SELECT coalesce(nullif(document_type, ''), 'i_d_document') AS document_type, count(*) AS n FROM harvests GROUP BY 1",
+        "extract_stub": f"SELECT record_id, true AS success, 'invoice' AS document_type, 'N' || (n % 97) AS invoice_number, n + 0.5::DOUBLE AS total_amount, 1::INT AS calls FROM (SELECT record_id, {len(_HEAD + 'invoice' + ask) + len(chr(10) * 2 + 'JSON:')} + length({cut.replace('text', 'notes')}) AS n FROM invoices WHERE notes IS NOT NULL)",
+        "p2_items": "SELECT record_id AS parent_id, row_number() OVER (PARTITION BY record_id ORDER BY pos)::INT AS item_no, i.name AS name, i.amount AS amount, i.quantity AS quantity FROM (SELECT record_id, unnest(line_items) AS i, generate_subscripts(line_items, 1) AS pos FROM invoices) WHERE i IS NOT NULL",
+    }

@@ -1,0 +1,5 @@
+"""Model providers: the interface, adapters to public SDKs, and a deterministic one for tests."""
+
+from ledgerloom.providers.base import AnthropicProvider, Completion, OllamaProvider, OpenAIProvider, Provider, StubProvider, make, resolve
+
+__all__ = ["AnthropicProvider", "Completion", "OllamaProvider", "OpenAIProvider", "Provider", "StubProvider", "make", "resolve"]

@@ -1,0 +1,234 @@
+"""Core operators on small fixtures."""
+
+import datetime
+import io
+import json
+import random
+from decimal import Decimal
+
+import pytest
+from pyspark.sql import functions as F
+
+from ledgerloom import cli
+from ledgerloom.functions import schemas
+from ledgerloom.functions import text as tx
+from ledgerloom.operators import extract, ledger, nested, timestamps, units
+from ledgerloom.providers import OllamaProvider, StubProvider, make, resolve
+from ledgerloom.sources import documents, sinks
+
+
+def column(spark, value, expr):
+    return spark.createDataFrame([(value,)], "v string").select(expr(F.col("v"))).first()[0]
+
+
+@pytest.mark.parametrize(("name", "want"), [("InvoiceDataSchema", "invoice_data"), ("IDDocumentOutput", "i_d_document"), ("Data", ""), ("CustomerReceiptData", "customer_receipt"), ("invoice", "invoice")])
+def test_document_type(spark, name, want):
+    assert column(spark, name, tx.document_type) == want
+
+
+def test_truncation(spark):
+    r = random.Random(1)
+    for n in (0, 7999, 8000, 8001, 9000):
+        t = "".join(r.choice("aé\n😀 ") for _ in range(n))
+        want = t
+        if n > 8000:
+            want = t[:4800] + f"\n\n[... {t[4800:-2400].count(chr(10))} lines removed ({n - 7200} chars) ...]\n\n" + t[-2400:]
+        assert column(spark, t, tx.truncated) == want
+    with pytest.raises(ValueError, match="at least 4"):
+        tx.truncated(F.lit("x"), 3)
+
+
+@pytest.mark.parametrize(("text", "want"), [('x {"a": {"b": 1}} y', '{"a": {"b": 1}}'), ("} {", "} {"), ("none", "none"), ("{a}\n{b}", "{a}\n{b}"), ("", "")])
+def test_json_span(spark, text, want):
+    assert column(spark, text, tx.json_span) == want == extract.span(text)
+
+
+@pytest.mark.parametrize(("path", "ext", "stem", "media", "route"), [("/a/b.JPG", ".jpg", "b", "image/jpeg", "image"), ("a.tar.gz", ".gz", "a.tar", "image/gz", None), (".jpg", "", ".jpg", "image/", None), ("x.png", ".png", "x", "image/png", "image"), ("foo.", "", "foo.", "image/", None), ("n.txt", ".txt", "n", "image/txt", "text")])
+def test_identity(spark, path, ext, stem, media, route):
+    assert [column(spark, path, f) for f in (tx.extension, tx.stem, tx.media_type, tx.route)] == [ext, stem, media, route]
+
+
+def test_prompt_and_schema(spark):
+    line = schemas.field_lines(schemas.LineItem).splitlines()[0]
+    assert line == "- name: Item name [string] (required)"
+    assert "- line_items: List of invoice line items [list of object (LineItem)] (optional)" in schemas.field_lines(schemas.InvoiceData)
+    got = spark.range(1).select(schemas.text_prompt(F.lit("T"), F.lit("invoice"), schemas.ReceiptData)).first()[0]
+    assert got.startswith("Extract structured data from this invoice.\n\nReturn a JSON") and got.endswith("Document text:\nT\n\nJSON:")
+    assert schemas.label(int | None) == "integer" and schemas.label(dict[str, int]) == "object" and schemas.label(list) == "list"
+    assert schemas.spark_schema(schemas.InvoiceData)["line_items"].dataType.elementType["name"].metadata["required"]
+    with pytest.raises(ValueError, match="Unknown schema"):
+        schemas.schema_by_name("Nope")
+
+
+def test_sources(spark, tmp_path):
+    (tmp_path / "invoice_1.txt").write_text("Hello, world!")
+    (tmp_path / "bad.txt").write_bytes(b"\xff\xfe\xfa")
+    (tmp_path / "test.exe").write_bytes(b"x")
+    docs = documents.routed(documents.from_paths(spark, [tmp_path / "invoice_1.txt", tmp_path / "none.jpg", tmp_path / "bad.txt", tmp_path / "test.exe"]))
+    rows = {r["ord"]: r for r in docs.collect()}
+    assert (rows[0]["text"], rows[0]["document_id"], rows[0]["file_size_bytes"], rows[0]["error"]) == ("Hello, world!", "invoice_1", 13, None)
+    assert rows[1]["error"].startswith("File not found: ") and "UTF-8" in rows[2]["error"] and rows[3]["error"].startswith("Unsupported file type: .exe. Supported: .jpg")
+    mixed = documents.from_contents(spark, [b"abc", io.BytesIO(b"de"), 12345], filename="t.png").collect()
+    assert [r["file_size_bytes"] for r in mixed] == [3, 2, None] and mixed[2]["error"].startswith("Unsupported source type")
+    assert documents.from_paths(spark, []).count() == 0
+
+
+def test_extract(spark):
+    answers = {"one": 'ok {"invoice_number": "1", "total_amount": "6600.00", "line_items": [{"name": "a"}]}', "two": '{"total_amount": "$5"}', "three": "no json"}
+
+    def answer(prompt):
+        key = prompt.split("Document text:\n")[1].split("\n")[0]
+        if key == "four":
+            raise RuntimeError("down")
+        return answers[key]
+
+    texts = spark.createDataFrame([(k,) for k in (*answers, "four")], "text string").coalesce(1)
+    out = extract.extract(documents.routed(documents.from_texts(texts)), schemas.InvoiceData, lambda: StubProvider(answer), "m", "ollama").orderBy("ord").collect()
+    one, two, three, four = out
+    assert one["success"] and one["data"]["total_amount"] == 6600.0 and one["data"]["line_items"][0]["name"] == "a" and one["final_confidence"] == 0.85
+    assert one["final_strategy"] == "llm_ollama" and one["extraction_results"][0]["metadata"]["attempt"] == "1"
+    assert two["error"].startswith("Validation failed after 3 attempts") and len(two["calls"]) == 3 and two["data"] is None
+    assert "parse JSON" in three["error"] and len(three["calls"]) == 1
+    assert four["error"] == "Extraction failed: down" and four["final_confidence"] == 0.0
+    image = documents.routed(documents.from_contents(spark, [b"img"], filename="a.jpg"))
+    assert extract.extract(image, schemas.ReceiptData, lambda: StubProvider(lambda p: "{}"), "m", "openai", vision=False).first()["error"] == "Model m does not support vision"
+    seen = extract.extract(image, schemas.ReceiptData, lambda: StubProvider(lambda p: "{}"), "m", "openai").first()
+    assert seen["success"] and seen["extraction_results"][0]["metadata"]["media_type"] == "image/jpeg"
+
+
+def test_providers():
+    catalog = {"big": ("openai", "big-1", False)}
+    assert resolve("llama9", catalog) == ("ollama", "llama9:latest", True) and resolve("x:3b", catalog)[1] == "x:3b"
+    with pytest.raises(ValueError, match="Unknown model"):
+        resolve("nope", catalog)
+    assert make("big", catalog).ask("p", b"img").error == "Model big does not support vision"
+    assert not make("big", catalog).ask("p").success
+    assert OllamaProvider("a", "a:latest", True).local_models() == []
+
+
+def test_cli(tmp_path, capsys, spark):
+    f = tmp_path / "a.txt"
+    f.write_text("x")
+    assert cli.main([str(tmp_path / "none.txt"), "InvoiceData"]) == 1
+    assert cli.main([str(f), "Nope"]) == 1
+    assert cli.main(["--list-schemas"]) == 0
+    capsys.readouterr()
+    assert cli.main([str(f), "InvoiceData"], StubProvider(lambda p: '{"invoice_number": "7"}')) == 0
+    assert json.loads(capsys.readouterr().out)["invoice_number"] == "7"
+    with pytest.raises(SystemExit) as e:
+        cli.main([])
+    assert e.value.code == 2
+    assert cli.model_lines([{"name": "b", "provider": "z", "model_id": "1", "supports_vision": True}])[1].endswith("(vision)")
+
+
+def calls(spark, rows):
+    t = datetime.datetime(2024, 1, 1)
+    return spark.createDataFrame([(i, t + datetime.timedelta(hours=h), doc, c) for i, (h, doc, c) in enumerate(rows)], "call_id long, timestamp timestamp_ntz, document_id string, cost_units long")
+
+
+def test_admission(spark):
+    r = random.Random(3)
+    rows = [(r.randint(0, 200), r.choice(["a", "b", "c", "", None]), r.choice([0, 5, 30, 70, 120])) for _ in range(300)]
+    df = calls(spark, rows)
+    order = sorted(range(len(rows)), key=lambda i: (rows[i][0], i))
+    spent, want = {}, {}
+    for i in order:
+        _, doc, cost = rows[i]
+        want[i] = not doc or spent.get(doc, 0) + cost <= 100
+        if want[i] and doc:
+            spent[doc] = spent.get(doc, 0) + cost
+    assert dict(ledger.admit(df, F.col("document_id"), 100).collect()) == want
+    day, today, by_doc, both = None, 0, {}, {}
+    for i in order:
+        h, doc, cost = rows[i]
+        if h // 24 != day:
+            day, today = h // 24, 0
+        if today + cost > 200:
+            both[i] = "daily"
+        elif doc and by_doc.get(doc, 0) + cost > 150:
+            both[i] = "document"
+        else:
+            both[i] = "admitted"
+            today += cost
+            by_doc[doc] = by_doc.get(doc, 0) + cost
+    assert dict(ledger.admit_both(df, 200, 150).collect()) == both and {"daily", "document"} <= set(both.values())
+    assert ledger.admit(df.limit(0), F.col("document_id"), 1).count() == 0
+
+
+def test_ledger_and_log(spark, tmp_path):
+    models = spark.createDataFrame([("m", Decimal("0.25"), Decimal("1.25"))], "name string, input_price decimal(8,2), output_price decimal(8,2)")
+    t = datetime.datetime(2024, 1, 5, 3)
+    rows = [(1, t, "m", "llm_ollama", 1000, 500, 1500, "d1", True, None), (1, t, "m", "llm_ollama", 1000, 500, 1500, "d1", True, None), (2, t, "x", "llm_openai", 9, 9, 18, None, False, "e")]
+    raw = spark.createDataFrame(rows, "call_id long, timestamp timestamp_ntz, model string, strategy string, input_tokens long, output_tokens long, total_tokens long, document_id string, success boolean, error string")
+    c = ledger.priced(ledger.distinct_calls(raw), models)
+    assert dict(c.select("call_id", "cost_units").collect()) == {1: 87_500, 2: 0}
+    assert ledger.totals(c, F.lit(t)).first().asDict() == {"total_calls": 2, "cost_units": 87_500, "total_tokens": 1518, "daily_cost_units": 87_500, "daily_calls": 2, "documents": 1}
+    assert ledger.report(c, F.lit(t)).first()["free_successes"] == 1
+    assert ledger.totals(c.limit(0), F.lit(t)).first()["total_calls"] == 0
+    sinks.append_log(c.withColumn("cost", F.col("cost_units") / 1e8), str(tmp_path / "log"))
+    assert sinks.read_log(spark, str(tmp_path / "log")).where("tokens.total = 1500").count() == 1
+
+
+def test_stream(spark, tmp_path):
+    from ledgerloom.streaming.ledger import daily_cost
+
+    src, out = str(tmp_path / "in"), "daily"
+    spark.createDataFrame([(1, datetime.datetime(2024, 1, 5, 3), 5), (1, datetime.datetime(2024, 1, 5, 3), 5), (2, datetime.datetime(2024, 1, 6), 7)], "call_id long, timestamp timestamp, cost_units long").write.parquet(src)
+    q = daily_cost(spark.readStream.schema("call_id long, timestamp timestamp, cost_units long").parquet(src)).writeStream.format("memory").queryName(out).outputMode("complete").start()
+    q.processAllAvailable()
+    q.stop()
+    assert {(str(r["day"]), r["calls"], r["cost_units"]) for r in spark.table(out).collect()} == {("2024-01-05", 1, 5), ("2024-01-06", 1, 7)}
+
+
+def test_nested(spark, tmp_path):
+    data = {"x": [{"line_items": [{"name": "a", "components": [{"name": "b", "components": '[{"name": "c"}]'}, None]}, None, {"name": "d"}]}], "items": {"1": {"name": "e"}, "2": {"name": "f"}}, "components": {"name": "g"}}
+    got = [(n, p, i["name"]) for n, p, i in nested.visit(data)]
+    assert got == [(1, 0, "a"), (2, 1, "b"), (3, 2, "c"), (4, 0, "d"), (5, 0, "e"), (6, 0, "f"), (7, 0, "g")]
+    deep = "[" * 100_000
+    rows = spark.createDataFrame([("h", 1, 0, json.dumps(data)), ("h", 2, 0, None), ("h", 3, 0, "{bad"), ("h", 4, 0, ""), ("h", 5, 0, deep), ("h", 6, 0, "3")], "parent_table string, parent_id long, result_no int, data string")
+    out = nested.json_items(rows)
+    assert out.where("parent_id = 1").count() == 7 and out.where("tag = 'unreadable'").select("parent_id").distinct().count() == 3
+    nested.write_tables(out, str(tmp_path / "t"))
+    assert {r["name"] for r in nested.read_table(spark, str(tmp_path / "t"), "component").collect()} == {"b", "c"}
+    assert nested.json_items(rows.limit(0)).count() == 0
+
+
+DAYS = [
+    ("2024-02-29", "DMY", "2024-02-29"), ("2023-02-29", "DMY", None), ("20240203", "DMY", "2024-02-03"), ("03/04/23", "DMY", "2023-04-03"), ("03/04/23", "MDY", "2023-03-04"), ("23/03/04", "YMD", "2023-03-04"), ("45208", "DMY", "2023-10-09"), ("1701643306", "DMY", "2023-12-03"),
+    ("2024-W01-1", "DMY", "2024-01-01"), ("2020-W53-7", "DMY", "2021-01-03"), ("2021-W53-1", "DMY", None), ("2024-366", "DMY", "2024-12-31"), ("2023-366", "DMY", None), ("Sat, 22nd of June, 2024", "DMY", "2024-06-22"), ("le 1 juillet 2023", "DMY", "2023-07-01"), ("29. Mär. 2024", "DMY", "2024-03-29"),
+    ("20 Jan '24", "DMY", "2024-01-20"), ("09-JAN-2025", "DMY", "2025-01-09"), ("2023年2月25日", "DMY", "2023-02-25"), ("net 30", "DMY", None), ("", "DMY", None), ("2024-05-10T23:30:00-05:00", "DMY", "2024-05-11"), ("Aug. 17, 2024", "DMY", "2024-08-17"), ("x" * 5000, "DMY", None),
+]
+
+
+def test_days(spark):
+    systems = spark.createDataFrame([(o, "Europe/Berlin", o) for o in ("DMY", "MDY", "YMD")], "source_system string, time_zone string, date_order string")
+    rows = spark.createDataFrame([(i, o, t, "clash") for i, (t, o, _) in enumerate(DAYS)] + [(99, None, None, "c")], "record_id long, source_system string, date string, day string")
+    got = {r["record_id"]: r["value"] for r in timestamps.days(rows, systems, ("date",)).collect()}
+    assert {i: got.get(i) for i in range(len(DAYS))} == {i: w for i, (_, _, w) in enumerate(DAYS)} and 99 not in got
+    assert timestamps.days(rows.limit(0), systems, ("date",)).count() == 0
+
+
+TIMES = [
+    ("2024-10-27", "02:30", "2024-10-27T00:30:00Z"), ("2024-03-31", "02:30", "2024-03-31T01:30:00Z"), ("2024-07-01", "12:05:09 AM", "2024-06-30T22:05:09Z"), ("2024-07-01", "1.32 p.m.", "2024-07-01T11:32:00Z"), ("2024-07-01", "4 h 48", "2024-07-01T02:48:00Z"), ("2024-07-01", "0702", "2024-07-01T05:02:00Z"),
+    ("2024-07-01", "19:08:08 PST", "2024-07-02T03:08:08Z"), ("2024-07-01", "21:42 UTC+05:30", "2024-07-01T16:12:00Z"), ("2024-07-01", "25:00", "2024-07-01"), ("2024-07-01", None, "2024-07-01"), ("2024-08-08T02:35:25Z", None, "2024-08-08T02:35:25Z"), ("1691890790806", None, "2023-08-13T01:39:50Z"), ("2024-02-30", "10:00", None), ("2024-07-01", "13:00 pm", "2024-07-01"),
+]
+
+
+def test_instants(spark):
+    systems = spark.createDataFrame([("b", "Europe/Berlin", "DMY")], "source_system string, time_zone string, date_order string")
+    rows = spark.createDataFrame([(i, "b", d, t) for i, (d, t, _) in enumerate(TIMES)], "record_id long, source_system string, date string, time string")
+    got = {r["record_id"]: r["value"] for r in timestamps.instants(rows, systems).collect()}
+    assert {i: got.get(i) for i in range(len(TIMES))} == {i: w for i, (_, _, w) in enumerate(TIMES)}
+
+
+def test_amounts(spark):
+    currencies = spark.createDataFrame([("USD", "US dollar", "$", 2, 1.0, ["dollars"]), ("EUR", "Euro", "€", 2, 1.1, ["euros"]), ("CAD", "Canadian dollar", "$", 2, 0.75, None), ("JPY", "Japanese yen", "¥", 0, 0.01, ["yen"]), ("KWD", "Kuwaiti dinar", "KD", 3, 3.0, None)], "code string, label string, symbol string, minor_digits int, usd_per_unit double, local_names array<string>")
+    systems = spark.createDataFrame([("a", "EUR", "major"), ("b", "CAD", "minor"), ("c", None, "major"), ("k", "KWD", "minor")], "source_system string, default_currency string, amount_unit string")
+    cases = [("a", 10.0, "EUR", None, 1100), ("a", 10.0, "TEUR", None, 1_100_000), ("a", 1000.0, "EUR cents", None, 1100), ("b", 1000.0, "$", None, 750), ("b", 1000.0, "US dolalr", None, 1000), ("c", 5.0, None, None, None), ("c", 5.0, "florins", "Payable in Euro.", 550), ("b", 10.0, None, "Amounts in whole currency units, not in cents.", 750), ("c", 200.0, "yen", "Late fee of 48 EUR may apply.", 200), ("k", 1000.0, None, None, 300), ("a", -2.0, "", None, -220), ("a", None, "EUR", None, None), ("zz", 1.0, "EUR", "All figures in thousands.", 110_000)]
+    inv = spark.createDataFrame([(i, s, "v", a, c, n) for i, (s, a, c, n, _) in enumerate(cases)], "record_id long, source_system string, vendor_name string, total_amount double, currency string, notes string")
+    rec = spark.createDataFrame([(100, 1, "a", "m", 3.0), (101, 2, "a", "m", 3.0), (102, None, "a", None, 4.0)], "record_id long, harvest_id long, source_system string, merchant_name string, total double")
+    har = spark.createDataFrame([(1, [(False, "TOTAL 3 EUR"), (True, "Amounts in US dollar\nTOTAL 3,00")]), (2, [(True, "x\nTOTAL ¥ 3\nall prices in full units")]), (3, None)], "harvest_id long, extraction_results array<struct<success:boolean,raw_text:string>>")
+    got = {r["record_id"]: r["usd_cents"] for r in units.usd_cents(inv, rec, har, systems, currencies).collect()}
+    assert {i: got.get(i) for i in range(len(cases))} == {i: c[-1] for i, c in enumerate(cases)}
+    assert (got[100], got[101], got[102]) == (300, 3, 440)
+    assert units.usd_cents(inv.limit(0), rec.limit(0), har.limit(0), systems, currencies).count() == 0
