@@ -54,6 +54,7 @@ _SEP = r"(?:\s*[,;|]\s*|\s+-\s+|\s*\n|\s+)"
 STREET = re.compile(
     rf"(?<![\w#°])(?:{_NUM}(?:,? ){_WORD} {_KIND}(?![{_LETTER}])|{_NUM},? {_FRENCH} {_WORD}|{_NUM},? {_GERMAN}(?![{_LETTER}])|{_GERMAN} {_NUM}|{_WORD} (?:Str|STR|str)\.? {_NUM}|{_WORD} {_KIND} {_NUM}|{_FRENCH} {_WORD},? {_NUM})(?![\w])"
 )
+_SEPARATOR = re.compile(_SEP)
 _UNIT = re.compile(rf"{_SEP}(?i:(?:unit|suite|ste\.?|apt\.?|floor|room|bldg\.?|building|etage|stock)\s*[#.]?\s*(?:\d+[a-z]?|[a-z])\b|\d+(?:st|nd|rd|th|er|e) (?:floor|étage)|hinterhaus|vorderhaus|attn:? ?\w+)")
 _CODE = re.compile(rf"{_SEP}(\d{{5}})(?!\d)")
 _REGION = re.compile(rf"(?:{_SEP}([A-Z]{{2}}|[a-z]{{2}})(?= \d{{5}}|\s*(?:[,;|]|\n|$)|[.)]| - )|(?:, ?| \| |; ?| )([A-Z]{{2}})(?= ))")
@@ -112,31 +113,45 @@ class Gazetteer:
         return near and len(t) > 4 and any(t.count(" ") == n.count(" ") and distance(t, n, 2) <= 2 for n in self.names)
 
 
-def _tail(text: str, at: int, places: Gazetteer, features: dict[str, float]) -> Iterator[tuple[int, dict[str, float]]]:
-    """Ends of an address whose street ends at ``at``, each with its features so far."""
+def _tail(text: str, at: int, places: Gazetteer, features: dict[str, float], lines: bool | None = None) -> Iterator[tuple[int, dict[str, float]]]:
+    """Ends of an address whose street ends at ``at``, each with its features so far.
+
+    ``lines``: whether its parts stand on lines of their own; the first part after
+    the street tells.
+    """
     yield at, features
+    parts = features.get("ADDRESS:part", 0) + 1
+    gap = _SEPARATOR.match(text, at)
+    if not gap:
+        return
+    new = "\n" in gap[0]
+    if lines is not None and new and not lines:
+        return
     for pattern, name in ((_UNIT, "unit"), (_CODE, "code"), (_REGION, "region")):
         if f"ADDRESS:{name}" not in features and (m := pattern.match(text, at)) and not (name == "region" and "ADDRESS:town" not in features):
-            yield from _tail(text, m.end(), places, features | {f"ADDRESS:{name}": 1.0, "ADDRESS:part": features.get("ADDRESS:part", 0) + 1})
-    if m := re.compile(_SEP).match(text, at):
+            # a number on a line of its own is a code only beside a town, or where the parts before it have such lines
+            if name == "code" and new and lines is None and not re.match(rf" [{_LETTER}]", text[m.end() : m.end() + 2]):
+                continue
+            yield from _tail(text, m.end(), places, features | {f"ADDRESS:{name}": 1.0, "ADDRESS:part": parts}, new if lines is None else lines)
+    if m := gap:
+        lines = new if lines is None else lines
         ends, pos = [], m.end()
         for _ in range(4):
             w = _TOWNWORD.match(text, pos)
             if not w:
                 break
             ends.append(w.end())
-            gap = re.compile(r" ").match(text, w.end())
-            if not gap:
+            if text[w.end() : w.end() + 1] != " ":
                 break
-            pos = gap.end()
+            pos = w.end() + 1
         for e in reversed(ends):
             word = text[m.end() : e].rstrip(".")
             e = m.end() + len(word)
             if "ADDRESS:town" not in features and places.is_town(word, True):
-                yield from _tail(text, e, places, features | {"ADDRESS:town": 1.0, "ADDRESS:part": features.get("ADDRESS:part", 0) + 1})
+                yield from _tail(text, e, places, features | {"ADDRESS:town": 1.0, "ADDRESS:part": parts}, lines)
                 break
             if "ADDRESS:country" not in features and ("ADDRESS:town" in features or "ADDRESS:code" in features) and plain(word).replace("-", " ") in places.countries:
-                yield e, features | {"ADDRESS:country": 1.0, "ADDRESS:part": features.get("ADDRESS:part", 0) + 1}
+                yield e, features | {"ADDRESS:country": 1.0, "ADDRESS:part": parts}
                 break
 
 
@@ -148,6 +163,8 @@ def _front(text: str, at: int, places: Gazetteer) -> list[tuple[int, dict[str, f
         return []
     m = re.search(rf"(?:(\d{{5}}) )?((?:[{_LETTER}0-9'’.-]+ ){{0,3}}[{_LETTER}0-9'’.-]+)(?:{_SEP}([A-Za-z]{{2}}))?(?: (\d{{5}}))?{_SEP}$", head)
     out = []
+    if code := re.search(r"(?<!\d)(\d{5})(?:, ?| \| |; ?| - )$", head):
+        out.append((line + 1 + code.start(1), {"ADDRESS:front": 1.0, "ADDRESS:code": 1.0}))
     if m:
         words = m[2].split(" ")
         for k in range(len(words)):
@@ -161,7 +178,7 @@ def _front(text: str, at: int, places: Gazetteer) -> list[tuple[int, dict[str, f
 
 _ITEM_LINE = re.compile(r"[^\n]{2,40} {2,}-?[\d.,]+(?: \d{3})*(?:[.,]\d+)?(?: {2,}-?[\d.,  ]+)?(?=\n|$)")
 _HIDDEN_AT = re.compile(r"[\[({](?:at|dot|\.)[\])}]|\bdot\b| at [a-z0-9-]+\.[a-z]", re.I)
-_STREETLIKE = re.compile(rf"\d(?:.*)(?:{_KIND}|{_FRENCH})(?![{_LETTER}])|(?i:rue|place|pce|boul|bd|av|r)\b.*\d|(?i:stra(?:ß|ss)e|platz|weg|allee|gasse|str\.?|pl\.|w\.|al\.) |(?i:stra(?:ß|ss)e|platz|weg|allee|gasse|str\.?|pl\.|w\.|al\.)(?:,|\n|$)|{_KIND} (?i:n[or]\.?|n°|#)? ?\d")
+_STREETLIKE = re.compile(rf"\d(?:.*)(?:{_KIND}|{_FRENCH})(?![{_LETTER}])|(?<![{_LETTER}]){_FRENCH} .*\d|(?i:stra(?:ß|ss)e|platz|weg|allee|gasse|str\.?|pl\.|w\.|al\.) |(?i:stra(?:ß|ss)e|platz|weg|allee|gasse|str\.?|pl\.|w\.|al\.)(?:,|\n|$)|{_KIND} (?i:n[or]\.?|n°|#)? ?\d")
 _ID_CUE = re.compile(rf"(?<!\w)(?:{ID_CUES})\s*[:=]?\s*", re.I)
 _ID_VALUE = re.compile(rf"(?:{ID_SHAPE})(?![\w-])")
 _ID_MARKED = re.compile(r"(?<![\w.-])(?:QQ ?\d{2} ?\d{2} ?\d{2} ?[A-D]|\d{8}[A-Z]|[A-Z]{5}\d{6}[A-Z0-9]{3})(?![\w-])")
@@ -391,6 +408,9 @@ def gazetteer(addresses: DataFrame) -> Gazetteer:
     rows = addresses.select("spelling").mapInArrow(run, "postcode string, beside string, towns array<string>").persist()
     texts, _, _ = mine_towns(rows)
     seen = rows.where("beside is not null").groupBy(F.col("beside").alias("text")).agg(F.count("*").alias("n"))
+    # what mostly stands last, behind the town, is a country
+    behind = rows.where("postcode is not null and size(towns) > 0").select(F.element_at("towns", -1).alias("text"), "beside").where("text <> beside").groupBy("text").agg(F.count("*").alias("m"))
+    seen = seen.join(behind, "text", "left").where("m is null or m < n").drop("m")
     towns = [r["text"] for r in texts.join(seen, "text").orderBy(F.desc("n"), "text").limit(MOST_TOWNS).select("text").collect()]
     names = [r["town"] for r in texts.join(seen, "text").where("text = town and n >= 5").orderBy(F.desc("n"), "town").limit(5_000).select("town").collect()]
     known = set(towns)
