@@ -27,7 +27,7 @@ def grams(text: Column, n: int = 2) -> Column:
     return F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(s) - (n - 1), F.lit(1))), lambda i: F.substring(s, i, F.lit(n))))
 
 
-def nearest(values: DataFrame, forms: DataFrame, threshold: float, margin: float, short: int = 4, edits: float = 0.34) -> DataFrame:
+def nearest(values: DataFrame, forms: DataFrame, threshold: float, margin: float, short: int = 4, edits: float = 0.28) -> DataFrame:
     """``(value, code, score)`` of every ``values(value)`` that is near enough to one ``forms(form, code)``.
 
     Both sides are plain text (see :func:`plain`).  Candidates come from an
@@ -54,7 +54,7 @@ def nearest(values: DataFrame, forms: DataFrame, threshold: float, margin: float
         .select("value", "vnorm", F.col("h.w").alias("w"), F.explode("h.posts").alias("p"))
         .groupBy("value", "p.form", "p.code")
         .agg((F.sum(F.col("w") * F.col("w")) / F.first(F.col("vnorm") * F.col("p.norm"))).alias("score"))
-        .withColumn("score", F.when(F.col("value") == F.col("form"), 1.0).when((F.length("form") <= short) | (F.levenshtein("value", "form") > edits * F.greatest(F.length("value"), F.length("form"))), 0.0).otherwise(F.least(F.col("score"), F.lit(0.9999))))
+        .withColumn("score", F.when(F.col("value") == F.col("form"), 1.0).when((F.length("form") <= short) | (F.levenshtein("value", "form") > F.greatest(F.lit(2.0), edits * F.greatest(F.length("value"), F.length("form")))), 0.0).otherwise(F.least(F.col("score"), F.lit(0.9999))))
     )
     by_code = scored.groupBy("value", "code").agg(F.max("score").alias("score"))
     ranked = by_code.groupBy("value").agg(F.sort_array(F.collect_list(F.struct("score", "code")), asc=False).alias("r"))

@@ -57,3 +57,14 @@ def written(df: DataFrame, name: str) -> DataFrame:
 def bounded(df: DataFrame, rows: int = 10_000) -> DataFrame:
     """``df`` with a broadcast hint if it is proven to hold at most ``rows`` rows."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
+def text_batches(spark: SparkSession, rows: int = 500) -> None:
+    """Lowers the session's Arrow batches to ``rows`` for stages on long texts.
+
+    A batch is held as a whole by the executor and by its Python worker, and by
+    default has 10,000 rows of whatever length.
+    """
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= rows:
+        spark.conf.set(key, rows)
