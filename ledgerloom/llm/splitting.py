@@ -16,12 +16,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.tokens import Block, bpe, blocks_of, vocabulary_path
+from ledgerloom.llm.tokens import Block, blocks_of, bpe, vocabulary_path
+from ledgerloom.session import text_batches
 
 #: Signs: inside a word, end of a word, of a line, of a paragraph, of a cell.
 INSIDE, WORD, LINE, PARAGRAPH, CELL = "i", "w", "l", "p", "c"
 #: A word of more tokens is cut into parts of so many characters.
 LONG_TOKENS, PART_CHARS = 32, 16
+#: Texts are read in runs of so many bytes.
+SPLIT_BYTES = 1 << 20
 
 
 def _units(block: Block, coder) -> tuple[np.ndarray, np.ndarray]:
@@ -74,7 +77,7 @@ def _units(block: Block, coder) -> tuple[np.ndarray, np.ndarray]:
 
 def _signs(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
     coder = bpe(path)
-    for rows, block in blocks_of(batches, "text"):
+    for rows, block in blocks_of(batches, "text", SPLIT_BYTES):
         begin, count = _units(block, coder)
         end = np.append(begin[1:], len(block.points))
         last = block.points[np.maximum(end - 1, 0)] if len(end) else end
@@ -184,6 +187,7 @@ def split(documents: DataFrame, limits: DataFrame, vocabulary: str | None = None
     cells = F.transform("cells", lambda c: c["end_char"]) if "cells" in documents.columns else F.lit(None).cast("array<bigint>")
     # a text of fewer bytes than the least limit has no more tokens
     docs = documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), cells.alias("cell_ends")).where(F.octet_length("text") > min(m for _, m, _ in rules))
+    text_batches(documents.sparkSession)
     signed = docs.mapInArrow(lambda it: _signs(it, path), "doc_id long, text string, signs string, unit_tokens array<int>, unit_chars array<int>")
     cut = signed.select("doc_id", "text", "unit_tokens", "unit_chars", _runs(rules).alias("runs")).where(F.size("runs") > 0)
     return cut.mapInArrow(_pieces, "doc_id long, limit_name string, piece_no int, start_char long, end_char long, n_tokens int, overlap_tokens int, text string")

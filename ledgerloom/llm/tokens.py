@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.session import written
+from ledgerloom.session import text_batches, written
 
 BLOCK_BYTES = 4 << 20
 LETTER, NUMBER, SPACE, OTHER = 0, 1, 2, 3
@@ -154,17 +154,30 @@ class Block:
 
 
 def blocks_of(batches: Iterator[pa.RecordBatch], text: str, limit: int = BLOCK_BYTES) -> Iterator[tuple[pa.Table, Block]]:
-    """The rows of a partition in runs of about ``limit`` bytes of text."""
+    """The rows of a partition in runs of about ``limit`` bytes of text, however they are batched."""
+    held: list[pa.RecordBatch] = []
+    bytes_held = 0
+
+    def block() -> tuple[pa.Table, Block]:
+        rows = pa.Table.from_batches(held)
+        column = rows.column(text)
+        return rows, Block(pa.concat_arrays(column.chunks))
+
     for batch in batches:
-        rows = pa.Table.from_batches([batch])
-        column = batch.column(batch.schema.get_field_index(text))
-        size = np.cumsum(np.asarray(pc.fill_null(pc.binary_length(column), 0), dtype=np.int64))
+        size = np.cumsum(np.asarray(pc.fill_null(pc.binary_length(batch.column(batch.schema.get_field_index(text))), 0), dtype=np.int64))
         at = 0
-        while at < len(column):
+        while at < batch.num_rows:
             base = size[at - 1] if at else 0
-            to = max(at + 1, int(np.searchsorted(size, base + limit, side="right")))
-            yield rows.slice(at, to - at), Block(column.slice(at, to - at))
-            at = to
+            to = max(at + (not held), int(np.searchsorted(size, base + limit - bytes_held, side="right")))
+            if to > at:
+                held.append(batch.slice(at, to - at))
+                bytes_held += int(size[to - 1] - base)
+                at = to
+            if at < batch.num_rows:
+                yield block()
+                held, bytes_held = [], 0
+    if held:
+        yield block()
 
 
 def _packed(slots: np.ndarray) -> bytes:
@@ -196,6 +209,7 @@ def _to_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def corpus_blocks(docs: DataFrame) -> DataFrame:
     """``docs(doc_id, text)`` as blocks, written: doc ids, positions and word list."""
+    text_batches(docs.sparkSession)
     return written(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_to_blocks, BLOCK_SCHEMA), "token-blocks")
 
 
@@ -273,6 +287,7 @@ def count_tokens(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
 
     Needs no shuffle: the distinct words of a block are encoded where it is.
     """
+    text_batches(docs.sparkSession)
     path = vocabulary or vocabulary_path()
     keep = [c for c in docs.columns if c not in ("text", "n_tokens")]
     schema = docs.select(*keep).schema
