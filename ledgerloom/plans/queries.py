@@ -46,7 +46,6 @@ def _calls(spark: SparkSession, root: str) -> DataFrame:
 
 
 def _queries() -> dict:
-    as_of = F.lit(AS_OF)
     documents = lambda s, d: table(s, d, "documents").where("text is not null")
     paths = lambda s, d: table(s, d, "harvests").where("file_path is not null")
     return {
@@ -55,8 +54,8 @@ def _queries() -> dict:
         "daily_cost": lambda s, d: ledger.by_day(_calls(s, d)),
         "document_cost": lambda s, d: ledger.by_document(_calls(s, d)),
         "call_cost": lambda s, d: _calls(s, d).select("call_id", "model", "cost_units"),
-        "ledger_totals": lambda s, d: ledger.totals(_calls(s, d), as_of),
-        "cost_report": lambda s, d: ledger.report(_calls(s, d), as_of, 90),
+        "ledger_totals": lambda s, d: ledger.totals(_calls(s, d), F.lit(AS_OF)),
+        "cost_report": lambda s, d: ledger.report(_calls(s, d), F.lit(AS_OF), 90),
         "admit_per_document": lambda s, d: ledger.admit(_calls(s, d), F.col("document_id"), DOCUMENT_LIMIT),
         "admit_daily": lambda s, d: ledger.admit(_calls(s, d), F.to_date("timestamp"), DAY_LIMIT),
         "admit_both": lambda s, d: ledger.admit_both(_calls(s, d), DAY_LIMIT, DOCUMENT_LIMIT),
