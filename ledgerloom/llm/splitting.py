@@ -105,8 +105,10 @@ def _signs(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBa
                 at = np.searchsorted(stops, np.asarray([c for c in cells[d] if c is not None], np.int64))
                 at = at[at < len(stops)]
                 k[at[np.isin(stops[at], cells[d])]] = ord(CELL)
-                at2 = at[~np.isin(stops[at], cells[d])]
-                k[at2[(k[at2] == ord(LINE)) | (k[at2] == ord(PARAGRAPH))]] = ord(CELL)
+                inside = at[~np.isin(stops[at], cells[d])]
+                for near in (inside, inside + 1):  # a cell that ends inside a unit ends with the line that does
+                    near = near[near < len(k)]
+                    k[near[(k[near] == ord(LINE)) | (k[near] == ord(PARAGRAPH))]] = ord(CELL)
             if e > a:
                 k[-1] = ord(CELL)
             signs = np.full(int(total[e] - total[a]), ord(INSIDE), np.uint8)
