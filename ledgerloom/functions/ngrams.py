@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.session import bounded
+from ledgerloom.session import bounded, written
 
 #: Letters with accents and what they are without.
 ACCENTED = "àáâãäåāăąçćčďèéêëēęěìíîïīłñńňòóôõöøōőŕřśšťùúûüūůűýÿźżž"
@@ -37,16 +37,17 @@ def nearest(values: DataFrame, forms: DataFrame, threshold: float, margin: float
     of up to ``short`` letters must agree exactly.  A value that is a form is
     that form.  Ties between codes are not accepted.
     """
-    known = forms.where(F.length("form") > 0).distinct()
+    known = written(forms.where(F.length("form") > 0).select("form", "code").distinct(), "forms")
+    n = known.select("form").distinct().count()
     posted = known.select("form", "code", F.explode(grams(F.col("form"))).alias("gram"))
-    total = known.select(F.countDistinct("form").alias("n"))
     df = posted.groupBy("gram").agg(F.countDistinct("form").alias("df"))
-    weighted = posted.join(df, "gram").crossJoin(F.broadcast(total)).withColumn("w", F.log(1 + F.col("n") / F.col("df")))
+    weighted = posted.join(df, "gram").withColumn("w", F.log(1 + F.lit(float(n)) / F.col("df")))
     norms = weighted.groupBy("form", "code").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    index = weighted.select("gram", "form", "code", "w").join(norms, ["form", "code"]).groupBy("gram").agg(F.first("w").alias("w"), F.collect_list(F.struct("form", "code", "norm")).alias("posts"))
+    # written, so that the plan of the values reads it and does not hold how it came about
+    index = written(weighted.select("gram", "form", "code", "w").join(norms, ["form", "code"]).groupBy("gram").agg(F.first("w").alias("w"), F.collect_list(F.struct("form", "code", "norm")).alias("posts")), "form-index")
     asked = values.where(F.length("value") > 0).select("value").distinct()
     # A gram that no form has weighs as much as the rarest.
-    exploded = asked.select("value", F.explode(grams(F.col("value"))).alias("gram")).join(bounded(index), "gram", "left").crossJoin(F.broadcast(total)).withColumn("w", F.coalesce("w", F.log(1 + F.col("n"))))
+    exploded = asked.select("value", F.explode(grams(F.col("value"))).alias("gram")).join(bounded(index), "gram", "left").withColumn("w", F.coalesce("w", F.log(1 + F.lit(float(n)))))
     scored = (
         exploded.groupBy("value")
         .agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("vnorm"), F.collect_list(F.struct(F.coalesce("posts", F.array().cast("array<struct<form:string,code:string,norm:double>>")).alias("posts"), "w")).alias("hits"))
