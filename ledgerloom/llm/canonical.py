@@ -46,7 +46,7 @@ def match(entries: DataFrame, forms: DataFrame, rejected: list[str], threshold:
 
 def _bare(entry: Column) -> Column:
     """A payment entry without openings, card numbers and case."""
-    s = F.regexp_replace(F.lower(entry), r"^\s*(?:paid|payment|pay)\s*:\s*|\*+\s*\d+|n°\s*\d+|#\s*\d+|\b\d{3,}\b", " ")
+    s = F.regexp_replace(F.lower(entry), r"^\s*(?:paid|payment|pay)\s*:\s*|\*+\s*\d+|(?:n°|\bno\.?|\bnr\.?)\s*\d+|#\s*\d+|\b\d{3,}\b", " ")
     return plain(s)
 
 
