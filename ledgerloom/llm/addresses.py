@@ -202,16 +202,21 @@ def place(rows: DataFrame) -> DataFrame:
 
 
 def mine_kinds(rows: DataFrame) -> DataFrame:
-    """``(kind, better)``: street words that mean another, from addresses that agree in town, number and name."""
+    """``(town, kind, better)``: street words that mean another, from addresses that agree in town, number and name.
+
+    What is learnt of a word anywhere holds in every town that knows the better
+    word, so that one short form can mean a street here and a Strasse there.
+    """
     spots = rows.where("town is not null and kind <> ''").select("town", "number", "name", "kind").distinct()
     sets = spots.groupBy("town", "number", "name").agg(F.collect_set("kind").alias("kinds")).where(F.size("kinds") > 1)
     pair = sets.select("name", F.explode("kinds").alias("kind"), "kinds").select("name", "kind", F.explode("kinds").alias("better")).where("kind like '?%' and better not like '?%'")
     count = pair.groupBy("kind", "better").agg(F.countDistinct("name").alias("streets"))
     total = sets.select("name", F.explode("kinds").alias("kind")).groupBy("kind").agg(F.countDistinct("name").alias("all"))
     kept = count.join(total, "kind").where((F.col("streets") >= LEAST_STREETS) & (F.col("streets") >= LEAST_SHARE * F.col("all")))
-    ranked = kept.groupBy("kind").agg(F.sort_array(F.collect_list(F.struct("streets", "better")), asc=False).alias("r"))
-    # a short form of two words alike (street and Strasse) is left to the streets themselves
-    return ranked.where((F.size("r") == 1) | (F.col("r")[0]["streets"] >= 3 * F.get("r", F.lit(1))["streets"])).select("kind", F.col("r")[0]["better"].alias("better"))
+    used = spots.groupBy("town", "kind").agg(F.count("*").alias("uses"))
+    open_ = used.where("kind like '?%'").select("town", "kind").join(kept, "kind")
+    there = used.select("town", F.col("kind").alias("better"), "uses").where("uses >= 2")
+    return open_.join(there, ["town", "better"]).groupBy("town", "kind").agg(F.max_by("better", F.struct("streets", "uses", "better")).alias("better"))
 
 
 def rewritten(rows: DataFrame) -> DataFrame:
@@ -220,7 +225,7 @@ def rewritten(rows: DataFrame) -> DataFrame:
         rules = written(mine_kinds(rows), "rewrites")
         if not rules.limit(1).count():
             break
-        rows = rows.join(rules, "kind", "left").withColumn("kind", F.coalesce("better", "kind")).drop("better")
+        rows = rows.join(rules, ["town", "kind"], "left").withColumn("kind", F.coalesce("better", "kind")).drop("better")
     return rows
 
 
