@@ -32,10 +32,12 @@ def entries_to_codes(entries: DataFrame, currencies: Currencies) -> DataFrame:
 
 
 def invoice_amounts(invoices: DataFrame, currencies: Currencies) -> DataFrame:
-    """``(record_id, source_system, party, amount, code, shared, scale)`` as the invoices themselves tell it.
+    """``(record_id, source_system, party, amount, code, shared, scale, other)`` as the invoices themselves tell it.
 
     A currency entry is looked at before the notes; where both are silent the
-    columns are null.  An invoice without a total gives no row.
+    columns are null.  ``other`` is the notes' currency beside an entry whose sign
+    is shared, for sources without a default.  An invoice without a total gives
+    no row.
     """
     rows = invoices.where(F.col("total_amount").isNotNull()).select("record_id", "source_system", F.lower("vendor_name").alias("party"), F.col("total_amount").alias("amount"), F.col("currency").alias("entry"), "notes")
     codes = entries_to_codes(rows.select("entry"), currencies).withColumnsRenamed({"code": "_code", "shared": "_shared"})
@@ -46,6 +48,7 @@ def invoice_amounts(invoices: DataFrame, currencies: Currencies) -> DataFrame:
         F.when(by_entry, F.col("_code")).otherwise(currencies.lookup(F.col("_form"))).alias("code"),
         F.when(by_entry, F.col("_shared")).otherwise(F.coalesce(currencies.is_shared(F.col("_form")), F.lit(False))).alias("shared"),
         F.coalesce(F.when(by_entry, currencies.entry_scale(F.col("entry"))), sentence_scale(F.col("notes"))).alias("scale"),
+        F.when(F.coalesce(F.col("_shared"), F.lit(False)), currencies.lookup(F.col("_form"))).alias("other"),
     )
 
 
@@ -58,7 +61,7 @@ def receipt_amounts(receipts: DataFrame, harvests: DataFrame, currencies: Curren
     pages = harvests.select("harvest_id", text.alias("_t")).where(F.col("_t").isNotNull())
     told = pages.select("harvest_id", F.coalesce(currencies.sentence_currency(F.col("_t")), currencies.total_currency(F.col("_t"))).alias("_form"), sentence_scale(F.col("_t")).alias("scale")).where("_form is not null or scale is not null")
     rows = receipts.where(F.col("total").isNotNull()).select("record_id", "harvest_id", "source_system", F.lower("merchant_name").alias("party"), F.col("total").alias("amount"))
-    return rows.join(told, "harvest_id", "left").select("record_id", "source_system", "party", "amount", currencies.lookup(F.col("_form")).alias("code"), F.coalesce(currencies.is_shared(F.col("_form")), F.lit(False)).alias("shared"), "scale")
+    return rows.join(told, "harvest_id", "left").select("record_id", "source_system", "party", "amount", currencies.lookup(F.col("_form")).alias("code"), F.coalesce(currencies.is_shared(F.col("_form")), F.lit(False)).alias("shared"), "scale", F.lit(None).cast("string").alias("other"))
 
 
 def _factor(scale: Column, code: Column, currencies: Currencies) -> Column:
@@ -119,7 +122,7 @@ def usd_cents(invoices: DataFrame, receipts: DataFrame, harvests: DataFrame, sys
     units = spark.createDataFrame([(s, v["unit"]) for s, v in scales.items()] or [("", None)], "source_system string, _unit string")
     source = systems.select("source_system", F.col("default_currency").alias("_default")).join(units, "source_system", "left")
     rows = told.join(bounded(source), "source_system", "left")
-    code = F.coalesce(F.col("code"), F.col("_default"))
+    code = F.coalesce("code", F.when(F.col("shared"), F.col("_default")), "other", "_default")
     scale = F.coalesce(F.col("scale"), F.col("_unit"))
     cents = F.round(F.col("amount") * _factor(scale, code, currencies) * currencies.by_code(currencies.rate, code) * 100).cast("long")
     return rows.select("record_id", cents.alias("usd_cents")).where(F.col("usd_cents").isNotNull())

@@ -224,7 +224,7 @@ def test_instants(spark):
 def test_amounts(spark):
     currencies = spark.createDataFrame([("USD", "US dollar", "$", 2, 1.0, ["dollars"]), ("EUR", "Euro", "€", 2, 1.1, ["euros"]), ("CAD", "Canadian dollar", "$", 2, 0.75, None), ("JPY", "Japanese yen", "¥", 0, 0.01, ["yen"]), ("KWD", "Kuwaiti dinar", "KD", 3, 3.0, None)], "code string, label string, symbol string, minor_digits int, usd_per_unit double, local_names array<string>")
     systems = spark.createDataFrame([("a", "EUR", "major"), ("b", "CAD", "minor"), ("c", None, "major"), ("k", "KWD", "minor")], "source_system string, default_currency string, amount_unit string")
-    cases = [("a", 10.0, "EUR", None, 1100), ("a", 10.0, "TEUR", None, 1_100_000), ("a", 1000.0, "EUR cents", None, 1100), ("b", 1000.0, "$", None, 750), ("b", 1000.0, "US dolalr", None, 1000), ("c", 5.0, None, None, None), ("c", 5.0, "florins", "Payable in Euro.", 550), ("b", 10.0, None, "Amounts in whole currency units, not in cents.", 750), ("c", 200.0, "yen", "Late fee of 48 EUR may apply.", 200), ("k", 1000.0, None, None, 300), ("a", -2.0, "", None, -220), ("a", None, "EUR", None, None), ("zz", 1.0, "EUR", "All figures in thousands.", 110_000)]
+    cases = [("a", 10.0, "EUR", None, 1100), ("a", 10.0, "TEUR", None, 1_100_000), ("a", 1000.0, "EUR cents", None, 1100), ("b", 1000.0, "$", None, 750), ("b", 1000.0, "US dolalr", None, 1000), ("c", 5.0, None, None, None), ("c", 5.0, "florins", "Payable in Euro.", 550), ("b", 10.0, None, "Amounts in whole currency units, not in cents.", 750), ("c", 200.0, "yen", "Late fee of 48 EUR may apply.", 200), ("k", 1000.0, None, None, 300), ("a", -2.0, "", None, -220), ("a", None, "EUR", None, None), ("zz", 1.0, "EUR", "All figures in thousands.", 110_000), ("c", 100.0, "cents", "Payable in Euro.", 110), ("c", 100.0, "cents", None, None)]
     inv = spark.createDataFrame([(i, s, "v", a, c, n) for i, (s, a, c, n, _) in enumerate(cases)], "record_id long, source_system string, vendor_name string, total_amount double, currency string, notes string")
     rec = spark.createDataFrame([(100, 1, "a", "m", 3.0), (101, 2, "a", "m", 3.0), (102, None, "a", None, 4.0)], "record_id long, harvest_id long, source_system string, merchant_name string, total double")
     har = spark.createDataFrame([(1, [(False, "TOTAL 3 EUR"), (True, "Amounts in US dollar\nTOTAL 3,00")]), (2, [(True, "x\nTOTAL ¥ 3\nall prices in full units")]), (3, None)], "harvest_id long, extraction_results array<struct<success:boolean,raw_text:string>>")
