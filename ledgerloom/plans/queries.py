@@ -7,7 +7,7 @@ import datetime
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.functions import schemas
+from ledgerloom.functions import results, schemas
 from ledgerloom.functions import text as tx
 from ledgerloom.operators import extract, ledger, nested, timestamps, units
 from ledgerloom.providers.base import StubProvider
@@ -71,6 +71,8 @@ def _queries() -> dict:
         "cost_breakdown": lambda s, d: table(s, d, "harvests").select("harvest_id", F.explode("cost_breakdown").alias("strategy", "cost")),
         "confidence_by_strategy": lambda s, d: table(s, d, "harvests").where("final_strategy is not null").groupBy("final_strategy").agg(F.count("*").alias("harvests"), F.count(F.when(F.col("success") & (F.col("final_confidence") >= 0.8), 1)).alias("high")),
         "document_types": lambda s, d: table(s, d, "harvests").select(tx.given(F.col("document_type"), tx.document_type(F.lit("IDDocumentOutput"))).alias("document_type")).groupBy("document_type").agg(F.count("*").alias("n")),
+        "success_share": lambda s, d: table(s, d, "harvests").select("harvest_id", results.success_share(F.col("extraction_results")).alias("share")),
+        "result_summary": lambda s, d: table(s, d, "harvests").select("harvest_id", results.summary(*(F.col(c) for c in ("success", "document_id", "document_type", "final_strategy", "final_confidence", "error"))).alias("line")),
         "extract_stub": extract_stub,
     }
 
@@ -136,6 +138,8 @@ def oracle_sql() -> dict[str, str]:
         "cost_breakdown": "SELECT harvest_id, e.key AS strategy, e.value AS cost FROM (SELECT harvest_id, unnest(map_entries(cost_breakdown)) AS e FROM harvests)",
         "confidence_by_strategy": "SELECT final_strategy, count(*) AS harvests, count(*) FILTER (success AND final_confidence >= 0.8) AS high FROM harvests WHERE final_strategy IS NOT NULL GROUP BY 1",
         "document_types": "SELECT coalesce(nullif(document_type, ''), 'i_d_document') AS document_type, count(*) AS n FROM harvests GROUP BY 1",
+        "success_share": "SELECT harvest_id, CASE WHEN len(extraction_results) > 0 THEN len(list_filter(extraction_results, lambda r: r.success)) / len(extraction_results) ELSE 0.0 END AS share FROM harvests",
+        "result_summary": "SELECT harvest_id, printf('%s %s (%s) %s %.2f%%', CASE WHEN success THEN 'SUCCESS' ELSE 'FAILED' END, coalesce(document_id, '?'), coalesce(document_type, '?'), coalesce(final_strategy, 'N/A'), coalesce(final_confidence, 0.0) * 100) || coalesce(' Error: ' || error, '') AS line FROM harvests",
         "extract_stub": f"SELECT record_id, true AS success, 'invoice' AS document_type, 'N' || (n % 97) AS invoice_number, n + 0.5::DOUBLE AS total_amount, 1::INT AS calls FROM (SELECT record_id, {len(_HEAD + 'invoice' + ask) + len(chr(10) * 2 + 'JSON:')} + length({cut.replace('text', 'notes')}) AS n FROM invoices WHERE notes IS NOT NULL)",
         "p2_items": "SELECT record_id AS parent_id, row_number() OVER (PARTITION BY record_id ORDER BY pos)::INT AS item_no, i.name AS name, i.amount AS amount, i.quantity AS quantity FROM (SELECT record_id, unnest(line_items) AS i, generate_subscripts(line_items, 1) AS pos FROM invoices) WHERE i IS NOT NULL",
     }

@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ledgerloom import cli
-from ledgerloom.functions import schemas
+from ledgerloom.functions import results, schemas
 from ledgerloom.functions import text as tx
 from ledgerloom.operators import extract, ledger, nested, timestamps, units
 from ledgerloom.providers import OllamaProvider, StubProvider, make, resolve
@@ -169,6 +169,14 @@ def test_ledger_and_log(spark, tmp_path):
     assert sinks.read_log(spark, str(tmp_path / "log")).where("tokens.total = 1500").count() == 1
 
 
+def test_results(spark):
+    rows = spark.createDataFrame([(True, 0.85, [(True,), (False,)], None), (False, None, None, "e")], "ok boolean, c double, r array<struct<success:boolean>>, error string")
+    got = rows.select(results.success_share(F.col("r")), results.high_confidence(F.col("ok"), F.col("c")), results.checked_confidence(F.col("c")), results.summary(F.col("ok"), F.lit("d"), F.lit("t"), F.lit("s"), F.col("c"), F.col("error"))).collect()
+    assert tuple(got[0]) == (0.5, True, 0.85, "SUCCESS d (t) s 85.00%") and got[1][0] == 0.0 and got[1][3] == "FAILED d (t) s 0.00% Error: e"
+    with pytest.raises(Exception, match="between 0 and 1"):
+        rows.select(results.checked_confidence(F.lit(1.5))).collect()
+
+
 def test_stream(spark, tmp_path):
     from ledgerloom.streaming.ledger import daily_cost
 
