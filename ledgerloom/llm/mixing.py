@@ -1,10 +1,10 @@
 """Sources mixed to target shares of the tokens (problem 9).
 
-Rates of documents are those nearest to one, in relative entropy, under two
-constraints a source: its tokens are its share of the whole, and its documents
-keep their mean length.  The dual is convex; Newton's method solves it, each
-step one distributed aggregation of sums over the documents.  The rates, an
-exponential tilt of the number of tokens, are cut at the source's cap and
+Rates of documents are those nearest to one, in relative entropy, under one
+constraint a source: its tokens are its share of the whole.  They are an
+exponential tilt of the number of tokens, cut at the source's cap.  The dual is
+convex; Newton's method, kept within the bounds seen so far, solves it, each
+step one distributed aggregation of sums over the documents.  The rates are
 rounded into copies by a threshold on each document's own random number, which a
 histogram of tokens over those numbers sets so that the sum comes out right.
 """
@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from ledgerloom.llm.tokens import count_tokens
 from ledgerloom.session import bounded, written
 
-STEPS, CLOSE = 12, 1e-6
+STEPS, CLOSE = 100, 1e-6
 BUCKETS = 4096
 
 
@@ -47,50 +47,48 @@ def budgets(tokens: dict[str, float], shares: dict[str, float], caps: dict[str,
         full |= over
 
 
-def _rates(a: Column, b: Column, x: Column, cap: Column) -> Column:
-    return F.least(cap, F.exp(a + b * x))
+def _rates(b: Column, x: Column, cap: Column) -> Column:
+    return F.when(b.isNull(), cap).otherwise(F.least(cap, F.exp(b * x)))
 
 
-def tilt(docs: DataFrame, goal: dict[str, float], caps: dict[str, float]) -> dict[str, tuple[float, float, float]]:
-    """Per source ``(alpha, beta, mean)`` of the rates ``min(cap, exp(alpha + beta * (tokens / mean - 1)))``.
+def tilt(docs: DataFrame, goal: dict[str, float], caps: dict[str, float]) -> tuple[dict[str, tuple[float | None, float]], int]:
+    """Per source ``(beta, mean)`` of the rates ``min(cap, exp(beta * tokens / mean))``, and the Newton steps taken.
 
     ``docs(key, n_tokens, n)`` holds documents of equal source and size once,
-    with their number.  What comes to the driver is six sums a source.
+    with their number.  What comes to the driver is two sums a source.  A source
+    that gives all it can has no beta: its rates are the cap.
     """
     spark = docs.sparkSession
     base = {r["key"]: (float(r["t"] or 0), float(r["n"])) for r in docs.groupBy("key").agg(F.sum(F.col("n_tokens") * F.col("n")).alias("t"), F.sum("n").alias("n")).collect()}
     live = {s: v for s, v in base.items() if s in goal and v[0] > 0 and goal[s] > 0}
     full = {s for s in live if goal[s] >= caps[s] * live[s][0] * (1 - 1e-9)}
-    state = {s: (math.log(goal[s] / t), 0.0, t / n) for s, (t, n) in live.items()}
-    state |= {s: (math.log(caps[s]), 0.0, live[s][0] / live[s][1]) for s in full}
-    want = {s: goal[s] / live[s][0] * live[s][1] for s in live}  # documents, of the same mean length
-    for _ in range(STEPS):
-        rows = [(s, a, b, m, float(caps[s])) for s, (a, b, m) in state.items() if s not in full]
-        if not rows:
-            break
-        at = F.broadcast(spark.createDataFrame(rows, "key string, a double, b double, mean double, cap double"))
-        x = F.col("n_tokens") / F.col("mean") - 1
-        rate = _rates(F.col("a"), F.col("b"), x, F.col("cap"))
+    state = {s: (None if s in full else 0.0, t / n) for s, (t, n) in live.items()}
+    bounds = {s: (-math.inf, math.inf) for s in live}
+    open_, steps = set(live) - full, 0
+    while open_:
+        at = F.broadcast(spark.createDataFrame([(s, *state[s], float(caps[s])) for s in sorted(open_)], "key string, b double, mean double, cap double"))
+        x = F.col("n_tokens") / F.col("mean")
+        rate = _rates(F.col("b"), x, F.col("cap"))
         free = F.when(rate < F.col("cap"), rate).otherwise(0.0)
-        w = F.col("n")
-        sums = docs.join(at, "key").groupBy("key").agg(F.sum(w * rate).alias("d"), F.sum(w * rate * x).alias("t"), F.sum(w * free).alias("h0"), F.sum(w * free * x).alias("h1"), F.sum(w * free * x * x).alias("h2")).collect()
-        worst = 0.0
+        # in units of the mean length; no overflow, as rates end at the cap
+        sums = docs.join(at, "key").groupBy("key").agg(F.sum(F.col("n") * rate * x).alias("t"), F.sum(F.col("n") * free * x * x).alias("h")).collect()
         for r in sums:
             s = r["key"]
-            a, b, m = state[s]
-            # at the mean length, the tokens ask that the deviations from it cancel
-            g0, g1 = want[s] - r["d"], -r["t"]
-            worst = max(worst, abs(g0) / want[s], abs(g1) / want[s])
-            det = r["h0"] * r["h2"] - r["h1"] ** 2
-            if det > 1e-9 * r["h0"] * max(r["h2"], 1e-12) and r["h0"] > 0:
-                da, db = (g0 * r["h2"] - g1 * r["h1"]) / det, (g1 * r["h0"] - g0 * r["h1"]) / det
-            else:
-                da, db = (g0 / r["h0"] if r["h0"] > 0 else 0.0), 0.0
-            size = max(abs(da), abs(db), 1.0)
-            state[s] = (a + da / size, b + db / size, m)
-        if worst < CLOSE:
-            break
-    return state
+            b, mean = state[s]
+            want = goal[s] / mean
+            gap = want - r["t"]
+            if abs(gap) < CLOSE * want:
+                open_.discard(s)
+                continue
+            low, high = bounds[s] = (b, bounds[s][1]) if gap > 0 else (bounds[s][0], b)
+            new = b + gap / r["h"] if r["h"] > 0 else math.nan
+            if not low < new < high:
+                new = (low + high) / 2 if math.isfinite(low + high) else b + math.copysign(1 + abs(b), gap)
+            state[s] = (new, mean)
+        if open_ and steps == STEPS:
+            raise RuntimeError(f"rates of {sorted(open_)} did not reach their tokens in {STEPS} steps")
+        steps += bool(open_)
+    return state, steps
 
 
 def mixed(documents: DataFrame, targets: DataFrame, vocabulary: str | None = None) -> DataFrame:
@@ -104,15 +102,15 @@ def mixed(documents: DataFrame, targets: DataFrame, vocabulary: str | None = Non
     spark = documents.sparkSession
     target = {r["key"]: r for r in targets.select(source_key(F.col("source")).alias("key"), "source", "target_share", "max_repeats").collect() if r["key"] is not None}
     counted = written(count_tokens(documents.select("doc_id", source_key(F.col("source")).alias("key"), "text"), vocabulary), "mix-tokens")
-    sizes = counted.groupBy("key", "n_tokens").agg(F.count("*").alias("n"))
+    sizes = written(counted.groupBy("key", "n_tokens").agg(F.count("*").alias("n")), "mix-sizes")
     tokens = {r["key"]: float(r["t"] or 0) for r in sizes.groupBy("key").agg(F.sum(F.col("n_tokens") * F.col("n")).alias("t")).where(F.col("key").isin(*target) | F.lit(False)).collect()} if target else {}
     whole = float(counted.agg(F.sum("n_tokens")).first()[0] or 0)
     shares, caps = {s: float(r["target_share"]) for s, r in target.items()}, {s: float(r["max_repeats"]) for s, r in target.items()}
     goal = budgets(tokens | {"": whole - sum(tokens.values())}, shares, caps) if target else {}
-    state = tilt(sizes.where(F.col("key").isNotNull()), goal, caps)
+    state, _ = tilt(sizes.where(F.col("key").isNotNull()), goal, caps)
     rows = [(s, target[s]["source"], *state[s], caps[s], goal[s]) for s in state]
-    at = F.broadcast(spark.createDataFrame(rows, "key string, source_name string, a double, b double, mean double, cap double, goal double"))
-    rate = F.coalesce(_rates(F.col("a"), F.col("b"), F.col("n_tokens") / F.col("mean") - 1, F.col("cap")), F.lit(0.0))
+    at = F.broadcast(spark.createDataFrame(rows, "key string, source_name string, b double, mean double, cap double, goal double"))
+    rate = F.when(F.col("cap").isNull(), 0.0).otherwise(_rates(F.col("b"), F.col("n_tokens") / F.col("mean"), F.col("cap")))
     unit = (F.pmod(F.xxhash64(F.col("doc_id"), F.lit("mix")), F.lit(1 << 40)) / float(1 << 40)).alias("u")
     drawn = counted.join(at, "key", "left").select("doc_id", "key", "source_name", "n_tokens", rate.alias("rate"), "goal", unit).withColumn("part", F.col("rate") - F.floor("rate"))
     # documents whose part exceeds their number by most come first: a threshold a source on that excess

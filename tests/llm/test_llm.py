@@ -201,6 +201,25 @@ def test_mixing(spark):
     assert mixing.mixed(docs.limit(0), targets).count() == 0
 
 
+def test_mixing_tilts(spark):
+    r = random.Random(6)
+    sizes = {s: [0, *(r.randint(1, 9) ** r.randint(1, 4) for _ in range(300))] for s in ("down", "up", "near_cap", "full", "same")}
+    docs = spark.createDataFrame([(s, t, ts.count(t)) for s, ts in sizes.items() for t in set(ts)], "key string, n_tokens long, n long")
+    part = {"down": 0.01, "up": 2.0, "near_cap": 3.99, "full": 4.0, "same": 1.0}
+    goal = {s: part[s] * sum(ts) for s, ts in sizes.items()}
+    state, steps = mixing.tilt(docs, goal, dict.fromkeys(sizes, 4.0))
+    assert steps > 1 and state["full"][0] is None
+    for s, ts in sizes.items():
+        b, mean = state[s]
+        rates = [4.0 if b is None else 4.0 if b * t / mean > 2 else min(4.0, np.exp(b * t / mean)) for t in ts]
+        assert abs(sum(w * t for w, t in zip(rates, ts, strict=True)) / goal[s] - 1) < 1e-5
+        assert (len({round(w, 9) for w in rates}) > 5) == (s not in ("full", "same"))
+    # the rates of documents follow their number of tokens
+    targets = spark.createDataFrame([("a", 0.3, 1), ("b", 0.3, 3), ("c", 0.4, 4)], "source string, target_share double, max_repeats int")
+    rows = [x for x in mixing.mixed(corpus(spark), targets).collect() if x["source"] == "b" and x["n_tokens"] > 0]
+    assert len({x["rate"] for x in rows}) == len({x["n_tokens"] for x in rows}) > 5
+
+
 def test_splitting(spark, tokenizer):
     r = random.Random(8)
     texts = [None, "", "short", "line of words\n" * 400, "x" * 9000, "=" * 9000, "a b\n\n  c" * 900, "".join(r.choice("ab \n\n.,'é東🎉1") for _ in range(6000)), "word " * 2000, "\n" * 5000, " " * 5000, "📊" * 1500]
