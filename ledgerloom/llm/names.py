@@ -5,7 +5,9 @@ place-holders are taken off, the line of trade or the given name is told apart
 from the house name or surname.  House names and surnames go through a trie join
 within the same trade or given name, in every order of their words; each links
 to the most used spelling near it.  Spellings that leave the trade or the given
-name out join the one entity that fits them.
+name out join the one entity that fits them; those that fit none, as their trade
+or given name is in no list, are joined among themselves, with their words
+matched one by one.
 """
 
 from __future__ import annotations
@@ -20,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ledgerloom.llm.tries import near
+from ledgerloom.llm.tries import errors_allowed, near
 from ledgerloom.session import written
 
 #: Entries that stand for no name.
@@ -137,7 +139,7 @@ def read(spelling: str) -> dict | None:
         if not house:
             return None
         forms = ["".join(house)] + (["".join(p) for p in itertools.permutations(house)] if len(house) <= 3 else [])
-        return {"kind": "org", "name": forms[0], "forms": sorted(set(forms), key=forms.index), "detail": [trade] if trade else [], "initial": "", "legal": legal or ""}
+        return {"kind": "org", "name": forms[0], "forms": sorted(set(forms), key=forms.index), "words": house, "detail": [trade] if trade else [], "initial": "", "legal": legal or ""}
     words = [w for w in house if w not in TITLES]
     initials = [w for w in words if len(w) == 1]
     long = [w for w in words if len(w) > 1]
@@ -154,17 +156,17 @@ def read(spelling: str) -> dict | None:
         return None
     if not given and not initials and len(surname) > 1:
         forms = ["".join(p) for p in itertools.permutations(surname)] if len(surname) <= 3 else ["".join(surname)]
-        return {"kind": "org", "name": "".join(surname), "forms": ["".join(surname), *[f for f in forms if f != "".join(surname)]], "detail": [], "initial": "", "legal": ""}
-    return {"kind": "person", "name": "".join(surname), "forms": ["".join(surname)], "detail": sorted(known), "initial": "" if known else (initials or [""])[0], "legal": ""}
+        return {"kind": "org", "name": "".join(surname), "forms": ["".join(surname), *[f for f in forms if f != "".join(surname)]], "words": surname, "detail": [], "initial": "", "legal": ""}
+    return {"kind": "person", "name": "".join(surname), "forms": ["".join(surname)], "words": surname, "detail": sorted(known), "initial": "" if known else (initials or [""])[0], "legal": ""}
 
 
-_READ = T.StructType().add("field", "string").add("id", "long").add("n", "long").add("kind", "string").add("name", "string").add("forms", T.ArrayType(T.StringType())).add("detail", T.ArrayType(T.StringType())).add("initial", "string").add("legal", "string")
+_READ = T.StructType().add("field", "string").add("id", "long").add("n", "long").add("kind", "string").add("name", "string").add("forms", T.ArrayType(T.StringType())).add("words", T.ArrayType(T.StringType())).add("detail", T.ArrayType(T.StringType())).add("initial", "string").add("legal", "string")
 
 
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         rows = [{"field": f, "id": i, "n": n} | r for f, i, n, s in zip(*(b.column(c).to_pylist() for c in range(4)), strict=True) if (r := read(s))]
-        yield pa.RecordBatch.from_pylist(rows, schema=pa.schema([("field", pa.string()), ("id", pa.int64()), ("n", pa.int64()), ("kind", pa.string()), ("name", pa.string()), ("forms", pa.list_(pa.string())), ("detail", pa.list_(pa.string())), ("initial", pa.string()), ("legal", pa.string())]))
+        yield pa.RecordBatch.from_pylist(rows, schema=pa.schema([("field", pa.string()), ("id", pa.int64()), ("n", pa.int64()), ("kind", pa.string()), ("name", pa.string()), ("forms", pa.list_(pa.string())), ("words", pa.list_(pa.string())), ("detail", pa.list_(pa.string())), ("initial", pa.string()), ("legal", pa.string())]))
 
 
 def spellings(records: list[tuple[DataFrame, tuple[str, ...]]], key: str = "record_id") -> DataFrame:
@@ -192,37 +194,96 @@ def roots(nodes: DataFrame, links: DataFrame) -> DataFrame:
     return out
 
 
+def any_order(nodes: DataFrame) -> DataFrame:
+    """``nodes(block, node, forms, words, indexed, asking)`` as ``near`` takes them, names of four words or more in any order.
+
+    As at most two errors are allowed, all words but two are unchanged: for each
+    choice of two, the others go to the block in order of the alphabet, and the
+    two, in both orders, are the forms.
+    """
+    flat = ("block", "node", "forms", "indexed", "asking")
+    two = F.expr("flatten(transform(sequence(0, size(words) - 2), i -> transform(sequence(i + 1, size(words) - 1), j -> struct(array_join(array_sort(filter(words, (w, k) -> k <> i and k <> j)), ' ') as rest, words[i] as a, words[j] as b))))")
+    more = nodes.where(F.size("words") > 3).select("block", "node", F.explode(two).alias("two"), "indexed", "asking")
+    return nodes.select(*flat).unionByName(more.select(F.concat_ws("|", "block", F.lit("rest"), "two.rest").alias("block"), "node", F.array(F.concat("two.a", "two.b"), F.concat("two.b", "two.a")).alias("forms"), "indexed", "asking"))
+
+
+def same_words(a: list[str], b: list[str]) -> bool:
+    """Whether the words of two names are the same in some order, each within its own bound of errors and all within that of the name."""
+    if len(a) != len(b):
+        return "".join(a) == "".join(b)
+    left, others = list(a), []
+    for w in b:
+        if w in left:
+            left.remove(w)
+        else:
+            others.append(w)
+    if len(left) > 2:  # each differs by an error at least
+        return False
+    most = errors_allowed(min(len("".join(a)), len("".join(b))))
+    for order in itertools.permutations(others):
+        each = [(distance(v, w, 2), errors_allowed(min(len(v), len(w)))) for v, w in zip(left, order, strict=True)]
+        if all(d <= k for d, k in each) and sum(d for d, _ in each) <= most:
+            return True
+    return False
+
+
+def _same_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        keep = [same_words(v, w) for v, w in zip(b.column("words").to_pylist(), b.column("_words").to_pylist(), strict=True)]
+        yield b.select(["node", "near", "distance"]).filter(pa.array(keep, pa.bool_()))
+
+
+def among(open_: DataFrame) -> DataFrame:
+    """``(node, root)`` of spellings that fit no entity of a listed trade or given name, linked among themselves.
+
+    Firms of different forms of law stay apart; one written without its form
+    joins those of its name if they have one form.
+    """
+    links = near(any_order(open_.select(F.concat_ws("|", "field", "kind", F.concat_ws(",", "detail"), "initial").alias("block"), "node", "forms", "words", F.lit(True).alias("indexed"), F.lit(True).alias("asking"))))
+    words = open_.select("node", "words", "legal")
+    both = links.join(words, "node").join(words.withColumnsRenamed({"node": "near", "words": "_words", "legal": "_legal"}), "near")
+    checked = both.where("legal = _legal or legal = ''").select("node", "near", "distance", "words", "_words").mapInArrow(_same_words, "node long, near long, distance int")
+    laws = open_.select("node", "legal")
+    checked = written(checked.join(laws, "node").join(laws.withColumnsRenamed({"node": "near", "legal": "_legal"}), "near"), "open-links")
+    own = written(roots(open_.select("node", "n"), checked.where("legal = _legal").select("node", "near", "distance")), "open-roots")
+    lawful = checked.where("legal = '' and _legal <> ''").join(own, "node").join(own.withColumnsRenamed({"node": "near", "root": "_home"}), "near")
+    sole = lawful.groupBy("root").agg(F.countDistinct("_legal").alias("laws"), F.min_by("_home", F.struct("distance", "_home")).alias("_home")).where("laws = 1").select("root", "_home")
+    return own.join(sole, "root", "left").select("node", F.coalesce("_home", "root").alias("root"))
+
+
 def link(read_: DataFrame) -> DataFrame:
     """``(field, id, entity)`` of the read spellings that are linked or alone in an entity."""
     full = F.size("detail") == 1
     block = F.concat_ws("|", "field", "kind", F.col("detail")[0])
-    exact = read_.where(full).groupBy(block.alias("block"), "field", "kind", F.col("detail")[0].alias("detail"), "name").agg(F.first("forms").alias("forms"), F.sum("n").alias("n"), F.max("legal").alias("legal"), F.array_remove(F.collect_set("legal"), "").alias("laws"))
+    exact = read_.where(full).groupBy(block.alias("block"), "field", "kind", F.col("detail")[0].alias("detail"), "name").agg(F.min_by("forms", "id").alias("forms"), F.min_by("words", "id").alias("words"), F.sum("n").alias("n"), F.max("legal").alias("legal"), F.array_remove(F.collect_set("legal"), "").alias("laws"))
     nodes = written(exact.withColumn("node", F.xxhash64("block", "name")), "name-nodes")
-    links = near(nodes.select("block", "node", "forms", F.lit(True).alias("indexed"), F.lit(True).alias("asking")))
+    links = near(any_order(nodes.select("block", "node", "forms", "words", F.lit(True).alias("indexed"), F.lit(True).alias("asking"))))
     # near names of firms of different forms of law are different firms
     law = nodes.select("node", "laws")
     links = links.join(law, "node").join(law.withColumnsRenamed({"node": "near", "laws": "_laws"}), "near").where((F.size("laws") == 0) | (F.size("_laws") == 0) | F.arrays_overlap("laws", "_laws") | (F.col("distance") == 0)).select("node", "near", "distance")
-    entity = written(nodes.select("node", "field", "kind", "detail", "name", "forms", "legal", "n").join(roots(nodes, links), "node"), "name-roots")
+    entity = written(nodes.select("node", "field", "kind", "detail", "name", "forms", "words", "legal", "n").join(roots(nodes, links), "node"), "name-roots")
     direct = read_.where(full).join(entity.select("field", "kind", F.col("detail").alias("_d"), "name", "root"), (entity["field"] == read_["field"]) & (entity["kind"] == read_["kind"]) & (F.col("_d") == F.col("detail")[0]) & (entity["name"] == read_["name"])).select(read_["field"], "id", F.col("root").alias("entity"))
     # spellings without trade or given name, or with one of several
     open_ = read_.where(~full).withColumn("node", F.xxhash64(F.lit("open"), "field", "kind", "name", F.col("detail").cast("string"), "initial", "legal"))
-    asked = open_.groupBy("node").agg(*(F.first(c).alias(c) for c in ("field", "kind", "name", "forms", "detail", "initial", "legal")), F.sum("n").alias("n"))
+    asked = written(open_.groupBy("node").agg(*(F.min_by(c, "id").alias(c) for c in ("field", "kind", "name", "forms", "words", "detail", "initial", "legal")), F.sum("n").alias("n")), "names-open")
     wide = F.concat_ws("|", "field", "kind")
-    hubs = entity.where("node = root").select(wide.alias("block"), "node", "forms", F.lit(True).alias("indexed"), F.lit(False).alias("asking"))
-    found = near(hubs.unionByName(asked.select(wide.alias("block"), "node", "forms", F.lit(False).alias("indexed"), F.lit(True).alias("asking"))))
+    hubs = entity.where("node = root").select(wide.alias("block"), "node", "forms", "words", F.lit(True).alias("indexed"), F.lit(False).alias("asking"))
+    found = near(any_order(hubs.unionByName(asked.select(wide.alias("block"), "node", "forms", "words", F.lit(False).alias("indexed"), F.lit(True).alias("asking")))))
     home = entity.where("node = root").groupBy("node").agg(F.first("detail").alias("_detail"))
     law = entity.groupBy("root").agg(F.collect_set("legal").alias("_laws")).withColumnRenamed("root", "node")
-    fits = (
+    fits = written(
         found.join(asked, "node").join(home.join(law, "node").withColumnRenamed("node", "near"), "near")
         .where((F.col("kind") == "org") | F.array_contains("detail", F.col("_detail")) | ((F.size("detail") == 0) & ((F.col("initial") == "") | F.col("_detail").startswith(F.col("initial")))))
         .withColumn("rank", F.struct(F.when((F.col("legal") != "") & F.array_contains("_laws", F.col("legal")), 0).when(F.col("legal") == "", 1).otherwise(2), F.col("distance")))
+        .select("node", "near", "rank"), "names-fits",
     )
     # the best rank must be reached by one entity alone
     best = fits.groupBy("node").agg(F.min("rank").alias("best"))
     sole = fits.join(best, "node").where("rank = best").groupBy("node").agg(F.count("*").alias("c"), F.first("near").alias("entity")).where("c = 1").select("node", "entity")
     alone = asked.join(sole, "node", "left")
-    # what fits no entity, or several, is one with those that are written alike
-    rest = alone.select("node", F.coalesce("entity", F.xxhash64(F.lit("rest"), "field", "kind", "name", F.col("detail").cast("string"), "initial", "legal")).alias("entity"))
+    # what fits several entities is one with those that are written alike, what fits none also with those near it
+    free = among(asked.join(fits.select("node").distinct(), "node", "left_anti"))
+    rest = alone.join(free, "node", "left").select("node", F.coalesce("entity", "root", "node").alias("entity"))
     return direct.unionByName(open_.select("field", "id", "node").join(rest, "node").select("field", "id", "entity"))
 
 

@@ -101,6 +101,20 @@ def test_names(spark):
     assert names.same_names(inv.limit(0), rec.limit(0)).count() == 0
 
 
+def test_unlisted_names(spark):
+    groups = [
+        ["Acme Robotics Ltd", "Acme Robotcs Ltd", "Robotics Acme Ltd", "Acme Robotics", "ACME ROBOTICS LIMITED"], ["Zoe Harker", "Harker, Zoe", "Zoe Harkr"], ["Joe Harker"],
+        ["Acme Rockets Ltd", "Rockets Acme Ltd"], ["Acme Rockets GmbH", "Acme Rokets GmbH"], ["Acme Rockets"],
+        ["Quadro Lumen Vexil Tandor Ltd", "Tandor Vexil Lumen Quadro Ltd", "Vexil Xuadro Tandor Lumem Ltd"], ["Brosel Kintar Omvel Padrun Foods AG", "Padrun Omvem Brosel Kintar Foods AG"],
+    ]
+    flat = [(i, s) for i, g in enumerate(groups) for s in g]
+    inv = spark.createDataFrame([(k, s, None) for k, (_, s) in enumerate(flat)], "record_id long, vendor_name string, customer_name string")
+    rec = spark.createDataFrame([], "record_id long, merchant_name string")
+    got = {(r["id_a"], r["id_b"]) for r in names.same_names(inv, rec).collect()}
+    assert got == {(a, b) for (a, (g, _)), (b, (h, _)) in itertools.combinations(enumerate(flat), 2) if g == h}
+    assert names.same_words(["old", "mill"], ["mill", "old"]) and not names.same_words(["zoe", "harker"], ["joe", "harker"])
+
+
 def test_addresses(spark):
     streets = ["Kibimpoji", "Menjulrennu", "Tovedenbet", "Rardeijegul", "Hansolidur", "Vemarokten"]
     groups = []
