@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.llm.names import distance, pairs, roots, spellings
-from ledgerloom.llm.tries import near
+from ledgerloom.llm.tries import errors_allowed, near
 from ledgerloom.session import written
 
 #: Kinds of street that need no mining.
@@ -183,15 +183,24 @@ def mine_towns(rows: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     return current, code, front
 
 
+def _misspelt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows whose ``text`` is within the typing errors allowed of ``_front``."""
+    for b in batches:
+        pairs_ = [(t.replace(" ", ""), f.replace(" ", "")) for t, f in zip(b.column("text").to_pylist(), b.column("_front").to_pylist(), strict=True)]
+        yield b.filter(pa.array([distance(t, f, k := errors_allowed(min(len(t), len(f)))) <= k for t, f in pairs_], pa.bool_()))
+
+
 def place(rows: DataFrame) -> DataFrame:
-    """``rows`` with ``town``: by its text, else by its postcode, else by a text near a town's."""
+    """``rows`` with ``town``: by its postcode, else by its text, else by the front of the postcode or a text near a town's."""
     texts, codes, fronts = mine_towns(rows)
-    # a front that holds one town settles rare texts on it, whatever they are
     tried = rows.select("field", "id", F.posexplode(F.array_distinct(F.concat(F.when(F.col("beside").isNotNull(), F.array("beside")).otherwise(F.array().cast("array<string>")), "towns"))).alias("at", "text"))
     hit = tried.join(texts, "text")
-    by_code = rows.select("field", "id", "postcode").where("postcode is not null").join(codes, "postcode", "left").withColumn("prefix", F.substring("postcode", 1, 3)).join(fronts.withColumnRenamed("town", "_front"), "prefix", "left").select("field", "id", F.coalesce("_front", "town").alias("by_code"))
+    by_code = rows.select("field", "id", "postcode").where("postcode is not null").join(codes, "postcode", "left").withColumn("prefix", F.substring("postcode", 1, 3)).join(fronts.withColumnRenamed("town", "_front"), "prefix", "left").select("field", "id", F.col("town").alias("by_code"), "_front")
     by_text = hit.groupBy("field", "id").agg(F.min_by("town", F.struct("at")).alias("by_text"))
-    known = rows.join(by_code, ["field", "id"], "left").join(by_text, ["field", "id"], "left").withColumn("town", F.coalesce("by_code", "by_text")).drop("by_code", "by_text")
+    known = written(rows.join(by_code, ["field", "id"], "left").join(by_text, ["field", "id"], "left").withColumn("text", F.coalesce("by_code", "by_text")).drop("by_code", "by_text"), "addresses-decided")
+    # a front may hold other towns than its greatest: that is only for addresses without a town, and for misspelt ones
+    misspelt = known.where("text <> _front").select("text", "_front").distinct().mapInArrow(_misspelt, "text string, _front string").withColumn("_town", F.col("_front"))
+    known = known.join(misspelt, ["text", "_front"], "left").withColumn("town", F.coalesce("_town", "text", "_front")).drop("text", "_front", "_town")
     known = written(known, "addresses-placed")
     lost = known.where("town is null").select(F.explode("towns").alias("text")).distinct().select(F.lit("town").alias("block"), F.xxhash64("text").alias("node"), F.array(F.replace("text", F.lit(" "), F.lit(""))).alias("forms"), F.lit(False).alias("indexed"), F.lit(True).alias("asking"), "text")
     sure = texts.where("text = town").select(F.lit("town").alias("block"), F.xxhash64(F.lit("known"), "town").alias("node"), F.array(F.replace("town", F.lit(" "), F.lit(""))).alias("forms"), F.lit(True).alias("indexed"), F.lit(False).alias("asking"), "town")

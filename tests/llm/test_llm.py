@@ -133,6 +133,17 @@ def test_addresses(spark):
     assert addresses.same_addresses(inv.limit(0), rec.limit(0)).count() == 0
 
 
+def test_small_towns_of_a_front(spark):
+    groups = [[f"{n} Kibimpoji Street, Hagenrode, QN {41200 + n}", f"{n} Kibimpoji Street, Hagenrode"] for n in range(10, 60)]
+    groups += [[f"{n} Kibimpoji Street, Vintburg, QN 41299", f"{n} Kibimpoji Street, Vintburg"] for n in (11, 12)]
+    groups[3].append("13 Kibimpoji Street, Hagenrdoe, QN 41288")
+    flat = [(i, s) for i, g in enumerate(groups) for s in g]
+    inv = spark.createDataFrame([(k, s, None) for k, (_, s) in enumerate(flat)], "record_id long, vendor_address string, customer_address string")
+    rec = spark.createDataFrame([], "record_id long, merchant_address string")
+    got = {(r["id_a"], r["id_b"]) for r in addresses.same_addresses(inv, rec).collect()}
+    assert got == {(a, b) for (a, (g, _)), (b, (h, _)) in itertools.combinations(enumerate(flat), 2) if g == h}
+
+
 def test_canonical(spark):
     methods = spark.createDataFrame([("cash", "Cash", ["Bargeld"]), ("credit_card", "Credit card", ["Kreditkarte", "carte de crédit"]), ("debit_card", "Debit card", ["carte de débit"]), ("cheque", "Cheque", None)], "code string, label string, local_names array<string>")
     cases = [("CASH.", "cash"), ("paid: Barge1d", "cash"), ("bar", "cash"), ("barter", "UNMATCHED"), ("carte de crdéit", "credit_card"), ("carte de débti", "debit_card"), ("credit crd ****4256", "credit_card"), ("", "UNMATCHED"), ("???", "UNMATCHED"), ("z" * 3000, "UNMATCHED"), ("house account 9", "UNMATCHED"), ("gift card", "UNMATCHED")]
