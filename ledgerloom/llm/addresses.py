@@ -3,14 +3,16 @@
 An address is read into house number, street words, postcode and the texts that
 may be its town.  Rewrites are then mined from addresses that agree elsewhere:
 towns that stand on the same postcodes, street words that stand at the same
-number and name of the same town.  A rewrite is kept if it is seen on several
-streets and covers a good share of what is rewritten; the addresses are written
-anew and mined again until no rewrite is new.  Last, street names of the same
-town, number and kind are joined within a few typing errors.
+number and name of the same town.  A rewrite is kept if the pair is seen together
+more often than chance allows, by a likelihood ratio corrected for the number of
+pairs tested, and covers a good share of what is rewritten; the addresses are
+written anew and mined again until no rewrite is new.  Last, street names of the
+same town, number and kind are joined within a few typing errors.
 """
 
 from __future__ import annotations
 
+import math
 import re
 import unicodedata
 from collections.abc import Iterator
@@ -19,17 +21,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.names import distance, pairs, roots, spellings
+from ledgerloom.llm.names import CRITICAL, distance, likelihood_ratio, pairs, roots, spellings
 from ledgerloom.llm.tries import errors_allowed, near
 from ledgerloom.session import written
 
-#: Kinds of street that need no mining.
+#: Kinds of street that need no mining.
 KINDS = ("street", "road", "avenue", "lane", "drive", "square", "close", "boulevard", "court", "way", "terrace", "place", "rue", "chemin", "quai", "strasse", "platz", "weg", "allee", "gasse", "ufer", "plaza", "crescent", "parkway", "highway")
-#: Kinds that German writes onto the name, with their short forms.
+#: Kinds that stand before the name, and small words that belong to a name behind them.
+LEADING = ("rue", "chemin", "quai", "avenue", "boulevard", "place", "allee")
+SMALL = ("de", "du", "des", "la", "le", "les", "l'", "d'", "saint", "sainte", "st", "ste")
+#: Kinds that German writes onto the name, with their short forms.
 JOINED = {"strasse": "strasse", "platz": "platz", "weg": "weg", "allee": "allee", "gasse": "gasse", "str": "strasse", "pl": "platz"}
-#: A rewrite must be seen on so many streets, and cover such a share of the rarer word.
+#: A rewrite must be seen on so many streets, and cover such a share of the rarer word, besides the test against chance.
 LEAST_STREETS, LEAST_SHARE = 3, 0.12
-ROUNDS = 4
 _INSIDE = re.compile(r"\b(?:unit|suite|ste|apt|apartment|room|rm|floor|fl|etage|etg|stock|bldg|building|block|c/o|attn:?)\s*[:.]?\s*(?:accounts|#?\d+[a-z]?|[a-z])\b|\b\d+(?:st|nd|rd|th|er|e)\s+(?:floor|etage)\b|\b(?:hinterhaus|vorderhaus|erdgeschoss|ground floor)\b|\battn:?\s*[a-z ]+")
 _NUMBER = re.compile(r"(?:\b(?:no|nr|num|n)\b\s*[.°º]?\s*|[#°º]\s*|n°\s*)?\b(\d{1,4})\s*(?:-\s*)?(?:([a-h])\b(?![.']))?(?![\d])")
 
@@ -65,7 +69,7 @@ def _joined(word: str) -> tuple[str, str] | None:
 def read(spelling: str) -> dict | None:
     """Number, kind, name, postcode and possible towns of an address; null if it has no number or no street."""
     s = _plain(spelling).replace("’", "'")
-    parts = [re.sub(r"\s+", " ", _INSIDE.sub(" ", p)).strip(" ,-") for p in re.split(r"[,;|\n]| - ", s)]
+    parts = [re.sub(r"\s+", " ", p).strip(" ,-") for p in re.split(r"[,;|\n]| - ", _INSIDE.sub(",", s))]  # what is inside a building parts the street from the town
     parts = [p for p in parts if p.strip(" .")]
     postcode, towns, beside, street = None, [], None, None
     number = letter = None
@@ -115,13 +119,23 @@ def read(spelling: str) -> dict | None:
             break
     bare = [w.rstrip(".") for w in tokens]
     if kind is None and len(bare) >= 2:
-        known = [(i, w) for i, w in enumerate(bare) if w in KINDS] or [(i, k) for i, w in enumerate(bare[:3]) if (k := _kind(w))]
+        exact = [(i, w) for i, w in enumerate(bare) if w in KINDS]
+        trailing = [(i, w) for i, w in exact if i and not (exact[0][0] == 0 and w not in LEADING and bare[0] in LEADING)]
+        known = ([exact[0]] if exact and exact[0] == (0, bare[0]) and bare[0] in LEADING else trailing[-1:]) or exact[:1] or [(i, k) for i, w in enumerate(bare[:3]) if (k := _kind(w))][:1]
+        elsewhere = bool(loose or postcode or others)  # the town stands in another part
         if known:
-            i, kind = min(known)
+            i, kind = known[0]
             if i == 0:
-                name, bare = bare[1], bare[2:]
+                end = 1
+                while end < len(bare) - 1 and bare[end] in SMALL:
+                    end += 1
+                end = len(bare) if elsewhere else end + 1
+                name, bare = "".join(bare[1:end]), bare[end:]
             else:
-                name, bare = bare[i - 1], bare[: i - 1] + bare[i + 1 :]
+                begin = 0 if elsewhere or back else i - 1
+                name, bare = "".join(bare[begin:i]), bare[:begin] + bare[i + 1 :]
+        elif elsewhere and len(bare) > 2:
+            kind, name, bare = "?" + bare[-1], "".join(bare[:-1]), []
         else:
             i = 0 if len(bare[0]) < len(bare[1]) else 1
             kind, name, bare = "?" + bare[i], bare[1 - i], bare[2:]
@@ -137,7 +151,8 @@ def read(spelling: str) -> dict | None:
     if bare:
         towns += [" ".join(bare)] + [" ".join(bare[:k]) for k in range(len(bare) - 1, 0, -1)] + [" ".join(bare[k:]) for k in range(1, len(bare))]
     if others:
-        towns += [" ".join(w.rstrip(".") for w in others if len(w) > 2)]
+        beyond = [w.rstrip(".") for w in others if len(w) > 2]
+        towns += [" ".join(beyond[:k]) for k in range(len(beyond), 0, -1)] + [" ".join(beyond[k:]) for k in range(1, len(beyond))]
     towns += [re.sub(r"[^a-z ]+", " ", x).strip() for x in loose if not re.search(r"\d", x)]
     tidy = lambda x: re.sub(r"\s+", " ", re.sub(r"[^a-z]+", " ", x)).strip()
     towns = [t for t in dict.fromkeys(tidy(t) for t in towns) if len(t) > 2]
@@ -157,26 +172,34 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def mine_towns(rows: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """``(text, town)``, ``(postcode, town)`` and ``(prefix, town)`` from addresses with both.
 
-    A text becomes the town that most of its postcodes' addresses name, round
-    after round until no text changes.
+    A text becomes the town that most of its postcodes' addresses name, if the
+    two stand on the same postcodes more often than chance allows, or if it is
+    seen too seldom to tell and is within the typing errors of the town; round
+    after round until no text changes, or a state comes again.
     """
     seen = written(rows.where("postcode is not null and beside is not null and beside <> ''").groupBy("postcode", F.col("beside").alias("text")).agg(F.count("*").alias("n")), "town-texts")
-    total = seen.groupBy("text").agg(F.sum("n").alias("support"))
-    current = total.select("text", F.col("text").alias("town"))
-    for _ in range(ROUNDS):
+    total = written(seen.groupBy("text").agg(F.sum("n").alias("support")), "town-support")
+    every, tests = (total.agg(F.coalesce(F.sum("support"), F.lit(0)), F.count("*")).first()[i] for i in (0, 1))
+    least = CRITICAL + 2 * math.log(max(1, tests))
+    current, states = total.select("text", F.col("text").alias("town")), set()
+    while True:
         named = seen.join(current, "text").join(total.withColumnsRenamed({"text": "town", "support": "of_town"}), "town")
-        # on each first part of a postcode, the town that is written most often there
-        front = named.groupBy(F.substring("postcode", 1, 3).alias("prefix"), "town").agg(F.sum("n").alias("n"), F.max("of_town").alias("of_town"))
         by_code = named.groupBy("postcode", "town").agg(F.sum("n").alias("n"), F.max("of_town").alias("of_town"))
-        mode_code = by_code.groupBy("postcode").agg(F.max_by("town", F.struct("n", "of_town", "town")).alias("leader"))
+        mode_code = by_code.groupBy("postcode").agg(F.max_by("town", F.struct("n", "of_town", "town")).alias("leader"), F.sum("n").alias("addresses"))
+        there = mode_code.groupBy("leader").agg(F.sum("addresses").alias("there"))
         shift = seen.join(mode_code, "postcode").groupBy("text", "leader").agg(F.sum("n").alias("n"))
         best = shift.groupBy("text").agg(F.max_by("leader", F.struct("n", "leader")).alias("leader"), F.max("n").alias("n")).join(total, "text").where(F.col("n") >= LEAST_SHARE * F.col("support"))
-        bigger = best.join(total.withColumnsRenamed({"text": "leader", "support": "of_leader"}), "leader").where("of_leader > support")
-        renewed = written(total.select("text").join(bigger.select("text", "leader"), "text", "left").select("text", F.coalesce("leader", "text").alias("town")), "towns")
-        changed = renewed.join(current.withColumnRenamed("town", "_old"), "text").where("town <> _old").limit(1).count()
+        bigger = best.join(total.withColumnsRenamed({"text": "leader", "support": "of_leader"}), "leader").where("of_leader > support").join(there, "leader")
+        ratio = F.expr(likelihood_ratio("n", "support", "there", f"{every}L"))
+        told = bigger.withColumn("sure", (F.col("n") >= LEAST_STREETS) & (ratio >= least))
+        alike = told.where("not sure").select("text", F.col("leader").alias("_front")).mapInArrow(_misspelt, "text string, _front string").withColumnRenamed("_front", "leader")
+        kept = told.where("sure").select("text", "leader").unionByName(alike)
+        renewed = written(total.select("text").join(kept, "text", "left").select("text", F.coalesce("leader", "text").alias("town")), "towns")
+        state = renewed.agg(F.sum(F.xxhash64("text", "town").cast("decimal(38,0)"))).first()[0]
         current = renewed
-        if not changed:
+        if state in states:
             break
+        states.add(state)
     final = seen.join(current, "text")
     code = final.groupBy("postcode", "town").agg(F.sum("n").alias("n")).groupBy("postcode").agg(F.max_by("town", F.struct("n", "town")).alias("town"))
     front = final.groupBy(F.substring("postcode", 1, 3).alias("prefix"), "town").agg(F.sum("n").alias("n")).groupBy("prefix").agg(F.max_by("town", F.struct("n", "town")).alias("town"), F.max("n").alias("top"), F.sum("n").alias("all")).where("top >= 5 and top >= 0.9 * all").select("prefix", "town")
@@ -219,9 +242,14 @@ def mine_kinds(rows: DataFrame) -> DataFrame:
     spots = rows.where("town is not null and kind <> ''").select("town", "number", "name", "kind").distinct()
     sets = spots.groupBy("town", "number", "name").agg(F.collect_set("kind").alias("kinds")).where(F.size("kinds") > 1)
     pair = sets.select("name", F.explode("kinds").alias("kind"), "kinds").select("name", "kind", F.explode("kinds").alias("better")).where("kind like '?%' and better not like '?%'")
-    count = pair.groupBy("kind", "better").agg(F.countDistinct("name").alias("streets"))
+    count = written(pair.groupBy("kind", "better").agg(F.countDistinct("name").alias("streets")), "kind-pairs")
     total = sets.select("name", F.explode("kinds").alias("kind")).groupBy("kind").agg(F.countDistinct("name").alias("all"))
-    kept = count.join(total, "kind").where((F.col("streets") >= LEAST_STREETS) & (F.col("streets") >= LEAST_SHARE * F.col("all")))
+    names_, tests = sets.agg(F.countDistinct("name")).first()[0], count.count()
+    tested = count.join(total, "kind").join(total.withColumnsRenamed({"kind": "better", "all": "all_better"}), "better")
+    ratio = F.expr(likelihood_ratio("streets", "all", "all_better", f"{names_}L"))
+    # a word that stands nowhere but beside one other has nothing to be tested against
+    sure = (ratio >= CRITICAL + 2 * math.log(max(1, tests))) | ((F.col("streets") == F.col("all")) & (F.col("all_better") == F.lit(names_)))
+    kept = tested.where((F.col("streets") >= LEAST_STREETS) & (F.col("streets") >= LEAST_SHARE * F.col("all")) & sure)
     used = spots.groupBy("town", "kind").agg(F.count("*").alias("uses"))
     open_ = used.where("kind like '?%'").select("town", "kind").join(kept, "kind")
     there = used.select("town", F.col("kind").alias("better"), "uses").where("uses >= 2")
@@ -229,13 +257,15 @@ def mine_kinds(rows: DataFrame) -> DataFrame:
 
 
 def rewritten(rows: DataFrame) -> DataFrame:
-    """``rows`` with street words rewritten until mining finds nothing new; what stays unknown is no kind."""
-    for _ in range(ROUNDS):
+    """``rows`` with street words rewritten until mining finds nothing new; what stays unknown is no kind.
+
+    A round makes unknown words known ones, so it ends.
+    """
+    while True:
         rules = written(mine_kinds(rows), "rewrites")
         if not rules.limit(1).count():
-            break
-        rows = rows.join(rules, ["town", "kind"], "left").withColumn("kind", F.coalesce("better", "kind")).drop("better")
-    return rows
+            return rows
+        rows = written(rows.join(rules, ["town", "kind"], "left").withColumn("kind", F.coalesce("better", "kind")).drop("better"), "rewritten")
 
 
 def locations(rows: DataFrame) -> DataFrame:
@@ -244,7 +274,7 @@ def locations(rows: DataFrame) -> DataFrame:
     block = F.concat_ws("|", "field", "town", "number", "kind")
     keyed = placed.withColumn("block", block).withColumn("node", F.xxhash64("block", "name"))
     nodes = written(keyed.groupBy("block", "node").agg(F.first("name").alias("name"), F.sum("n").alias("n"), F.first("field").alias("field"), F.first("town").alias("town"), F.first("number").alias("number"), F.first("kind").alias("kind")), "address-nodes")
-    links = near(nodes.select("block", "node", F.array("name").alias("forms"), F.lit(True).alias("indexed"), F.lit(True).alias("asking")))
+    links = near(nodes.select("block", "node", F.array("name").alias("forms"), F.lit(True).alias("indexed"), F.lit(True).alias("asking")), mutual=True)
     found = written(nodes.join(roots(nodes, links), "node"), "address-roots")
     # a street without its kind, or with one that nothing explains, is the one street of that name at the number
     vague = F.col("kind").isin("") | F.col("kind").startswith("?")

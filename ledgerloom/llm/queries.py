@@ -22,8 +22,7 @@ def p6_found(spark: SparkSession, root: str) -> DataFrame:
 
 def p7_found(spark: SparkSession, root: str) -> DataFrame:
     invoices, receipts, harvests = (table(spark, root, t) for t in ("invoices", "receipts", "harvests"))
-    known = names.spellings([(invoices, ("vendor_address", "customer_address")), (receipts, ("merchant_address",))])
-    found = pii.mentions(pii.free_texts(invoices, harvests), pii.gazetteer(known))
+    found = pii.found(invoices, receipts, harvests, pii.list_terms(table(spark, root, "currencies"), table(spark, root, "payment_methods")))
     return found.select("field", "row_id", "result_no", "pii_type", "value").distinct()
 
 
