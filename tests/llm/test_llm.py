@@ -300,12 +300,12 @@ def test_found(spark):
     n = len(made)
     inv = spark.createDataFrame([(k, k, g[0], g[-1], f"{10 + k % 80} Kibimpoji Street, Mount Tarrow, QN 285{k % 90 + 10}", None, None, None, None, "USD", f"Collected by {g[0]} at the gate." if k % 4 > 1 else "Payment in 30 days of the invoice date.") for k, g in enumerate(made)], "record_id long, harvest_id long, vendor_name string, customer_name string, vendor_address string, customer_address string, vendor_email string, customer_email string, customer_phone string, currency string, notes string")
     rec = spark.createDataFrame([], "record_id long, harvest_id long, merchant_name string, merchant_address string, payment_method string")
-    pages = spark.createDataFrame([(k, [(f"FACTURE 1\n{10 + k % 80} Kibimpoji Street, Mount Tarrow, QN 285{k % 90 + 10}\nCollected by Zoe Harker at the gate.\nTOTAL 12.00",)]) for k in range(n)] + [(n, None), (n + 1, [(None,)])], "harvest_id long, extraction_results array<struct<raw_text:string>>")
+    pages = spark.createDataFrame([(k, [(f"FACTURE 1\n{10 + k % 80} Kibimpoji Street, Mount Tarrow, QN 285{k % 90 + 10}\n{'Collected by Zoe Harker at the gate.' if k % 20 == 0 else 'Thank you.'}\nTOTAL 12.00",)]) for k in range(n)] + [(n, None), (n + 1, [(None,)])], "harvest_id long, extraction_results array<struct<raw_text:string>>")
     got = {(x["field"], x["row_id"], x["pii_type"], x["value"]) for x in pii.found(inv, rec, pages).collect()}
     for k, g in enumerate(made):
         if k % 4 > 1:
             assert ("notes", k, "NAME", g[0]) in got
-        assert ("raw_text", k, "NAME", "Zoe Harker") in got
+        assert k % 20 or ("raw_text", k, "NAME", "Zoe Harker") in got
         assert ("raw_text", k, "ADDRESS", f"{10 + k % 80} Kibimpoji Street, Mount Tarrow, QN 285{k % 90 + 10}") in got
     assert pii.found(inv.limit(0), rec, pages.limit(0)).count() == 0
 
