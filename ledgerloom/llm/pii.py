@@ -69,6 +69,10 @@ STREET = re.compile(
 )
 #: A number and capitalised words, whatever the kind of street is called; only with a town or a code behind.
 UNNAMED_STREET = re.compile(rf"(?<![\w#°.,-]){_NUM},? (?:[{_UP}][{_LETTER}'’]+ ){{0,3}}[{_UP}][{_LETTER}'’]{{2,}}(?=\s*[,;|]|\s+-\s|\s*\n)")
+#: One of these words, or a word with one of these ends, is in every street.
+_KIND_WORDS = frozenset(("street", "str", "st", "road", "rd", "avenue", "ave", "av", "lane", "ln", "la", "drive", "dr", "square", "sq", "close", "cl", "boulevard", "blvd", "boul", "bd", "court", "ct", "way", "terrace", "place", "pl", "plaza", "crescent", "rue", "r", "pce", "chemin", "quai", "allée"))
+_KIND_ENDS, _KIND_SHORT = ("straße", "strasse", "platz", "weg", "allee", "gasse"), ("str.", "pl.", "w.", "al.")
+_LETTERS = re.compile(rf"[{_LETTER}]+")
 _SEPARATOR = re.compile(_SEP)
 _UNIT = re.compile(rf"{_SEP}(?i:(?:unit|suite|ste\.?|apt\.?|floor|room|bldg\.?|building|etage|stock)\s*[#.]?\s*(?:\d+[a-z]?|[a-z])\b|\d+(?:st|nd|rd|th|er|e) (?:floor|étage)|hinterhaus|vorderhaus|attn:? ?\w+)")
 _CODE = re.compile(rf"{_SEP}(\d{{5}})(?!\d)")
@@ -94,8 +98,13 @@ SPOKEN_FORMS = (
 BEFORE = re.compile(rf"(?:(?i:signed|signé|gez\.|cc|verified by|approved by|served by|please call|call|contact ?:|queries to|mailed to|attn:?|c/o|member:|cashier:|kassierer:|kassiererin:|es bediente sie|ihr kassierer|rückfragen bitte an|livraison chez|bitte an|ask for|chez)|\b(?:and|und|et)) (?:{_TITLE})?$")
 PARTY = re.compile(rf"(?:^|\n)(?i:bill to|client|kunde|customer|sold to) ?: ?(?:{_TITLE})?$")
 AFTER = re.compile(r"^(?: asked us| on the phone| on \+?[\d(]| \(Tel|\.?(?:\n|$)| - |, [\w.+-]+ ?[@(\[]|, [\w.+-]+ at | before dispatch| at \S| and | / |\. )")
-SPEAKS = re.compile(rf"(?P<cue>(?i:signed|signé|gez\.|\bcc|verified by|approved by|served by|please call|contact ?:|queries to|mailed to|attn:?|c/o|member:|cashier:|kassierer:|kassiererin:|es bediente sie|ihr kassierer|rückfragen bitte an|livraison chez|bitte an|ask for|bill to ?:|client ?:|kunde ?:|customer ?:|sold to ?:)|\b(?:and|und|et)|(?<!\w){_TITLE[:-1]}) (?:{_TITLE})?")
+#: Words that announce a name, in small letters; those that end in a colon may have a blank before it.
+_CUES = ("signed", "signé", "gez.", "verified by", "approved by", "served by", "please call", "call", "queries to", "mailed to", "attn", "attn:", "c/o", "member:", "cashier:", "kassierer:", "kassiererin:", "es bediente sie", "ihr kassierer", "rückfragen bitte an", "livraison chez", "bitte an", "ask for", "chez")
+_CUES += tuple(w + c for w in ("contact", "bill to", "client", "kunde", "customer", "sold to") for c in (":", " :"))
 _TITLE_WORDS = frozenset({"m", "mr", "mrs", "dr", "mme", "mlle", "ms", "mx", "miss", "prof", "hon", "herr", "frau"})
+#: Those that must begin a word.
+_WHOLE = ("cc", "and", "und", "et", *(t + dot for t in sorted(_TITLE_WORDS) for dot in ("", ".")))
+_TITLE_AT = re.compile(_TITLE)
 TITLED = re.compile(rf"(?<!\w){_TITLE}$")
 FIRM = re.compile(r"^[ ,]*(?:&|\+|(?i:ltd|limited|gmbh|mbh|ag|llc|inc|sarl|b\.?v\.?|a\.g\.|co\b|company|electrical|technologies|freight|consulting|publishing|wholesale|manufacturing|chemicals|packaging|marine|landscaping|insurance|engineering|trading|property|foods|textiles|furniture|logistics|dental|printing|coffee|supermarket|pharmacy|restaurant|bakery|hardware|filling|garden|bookshop|butchers)\b)")
 WHERE = re.compile(r"(?i:lieferadresse|ship to|deliver to|tenant at|mailed to .{3,60} at|livraison chez .{3,60}|address|adresse|ring|at|to|:)[:, ]*$")
@@ -110,6 +119,12 @@ PRIOR = {
 }
 
 
+@functools.lru_cache(maxsize=200_000)
+def _key(word: str) -> str:
+    """:func:`plain` of a word, kept for the next time."""
+    return plain(word)
+
+
 class Gazetteer:
     """What the columns teach: texts of towns, towns near which a misspelt text is one, what follows a town, given names, common words, words of trades."""
 
@@ -117,6 +132,7 @@ class Gazetteer:
         self.towns, self.countries = frozenset(towns), frozenset(countries)
         self.given, self.common, self.kinds = frozenset(given), frozenset(common), True
         self.trades = frozenset(trades)
+        self.town_words = frozenset(w for t in self.towns for w in t.split())
         self.trie = Trie()
         for n in names:
             if len(n) > 4:
@@ -219,30 +235,40 @@ def _front(text: str, at: int, places: Gazetteer) -> list[tuple[int, dict[str, f
 
 #: A line that ends in amounts.
 _PRICED = re.compile(r"[^\n]{2,40} {2,}-?[\d.,]+(?: \d{3})*(?:[.,]\d+)?(?: {2,}-?[\d.,  ]+)?(?=\n|$)")
-#: What every e-mail address, and every line with a street, holds.
+#: What every e-mail address, and every phone number, holds.
+_PHONE_DIGITS = re.compile(r"\d\D{0,3}\d\D{0,3}\d\D{0,3}\d\D{0,3}\d\D{0,3}\d\D{0,3}\d")
 _HIDDEN_AT = re.compile(r"[\[({]at[\])}]|\sat\s", re.I)
-_STREETLIKE = re.compile(rf"{_KIND}(?![{_LETTER}])|(?<![{_LETTER}]){_FRENCH} |(?i:stra(?:ß|ss)e|platz|weg|allee|gasse|str\.?|pl\.|w\.|al\.)")
-_DIGIT = re.compile(r"\d")
+#: A part of every cue of :data:`ID_CUES`, in small letters.
+_ID_PARTS = ("ssn", "social", "nino", "ni n", "national", "ausweis", "pass", "carte", "steuer", "licen", "schein", "dni", "nie", "nir", "id card", "sécurité", "sozial")
 _ID_CUE = re.compile(rf"(?<!\w)(?:{ID_CUES})\s*[:=]?\s*", re.I)
 _ID_VALUE = re.compile(rf"(?:{ID_SHAPE})(?![\w-])")
 _ID_MARKED = re.compile(r"(?<![\w.-])(?:QQ ?\d{2} ?\d{2} ?\d{2} ?[A-D]|\d{8}[A-Z]|[A-Z]{5}\d{6}[A-Z0-9]{3})(?![\w-])")
 
 
-def _around(text: str, begin: int, end: int) -> tuple[str, str]:
-    """The last word or sign before a span, and the first behind it, without case and with digits as one."""
-    before = re.search(r"([^\W\d_]+ ?:|[^\W\d_]+|\d|[^\w\s]|\n|^)[ \t]*$", text[max(0, begin - 30) : begin])
-    after = re.match(r"[ \t]*([^\W\d_]+|\d|[^\w\s]|\n|$)", text[end : end + 30])
-    sign = lambda m: "" if m is None else "0" if m[1].isdigit() else m[1].lower().replace(" ", "")
-    return sign(before), sign(after)
+_BEFORE_SIGN = re.compile(r"([^\W\d_]+ ?:|[^\W\d_]+|\d|[^\w\s]|\n|^)[ \t]*$")
+_AFTER_SIGN = re.compile(r"[ \t]*([^\W\d_]+|\d|[^\w\s]|\n|$)")
+_GLUED = re.compile(r"[\w@.'’-]")
+_FIRM_INSIDE = re.compile(r"(?i)\b(?:ltd|gmbh|llc|inc|sarl|& co)\b")
+_CAPITAL_BEFORE = re.compile(rf"(?<![\w]){_ANY} $")
+
+
+def _sign(m: re.Match | None) -> str:
+    return "" if m is None else "0" if m[1].isdigit() else m[1].lower().replace(" ", "")
 
 
 def _name(text: str, begin: int, end: int, form: str, places: Gazetteer) -> tuple[int, int, str, dict[str, float]] | None:
     value = text[begin:end].rstrip(" \n")
     end = begin + len(value)
-    if end - begin > LONGEST["NAME"] or begin and re.match(r"[\w@.'’-]", text[begin - 1]):
+    if end - begin > LONGEST["NAME"] or begin and _GLUED.match(text, begin - 1):
         return None
+    words = [w.strip(".,").lower() for w in value.split()]
+    f = {f"NAME:{form}": 1.0, "NAME:size": float(sum(len(w) > 1 for w in words))}
+    behind = _sign(_AFTER_SIGN.match(text, end, end + 30))
+    if any(_key(w) in places.trades or w.replace(".", "") in nm.LEGAL for w in (*words, behind)):
+        f["NAME:trade"] = 1.0
+        if form == "capitals":  # a firm's name, whatever stands around it
+            return begin, end, "NAME", f
     before, after = text[max(0, begin - 48) : begin], text[end : end + 40]
-    f = {f"NAME:{form}": 1.0, "NAME:size": float(sum(len(w.strip(".")) > 1 for w in value.split()))}
     if form != "capitals":  # what stands around these is learnt
         if PARTY.search(before):
             f["NAME:party"] = 1.0
@@ -254,9 +280,8 @@ def _name(text: str, begin: int, end: int, form: str, places: Gazetteer) -> tupl
             f["NAME:title"] = 1.0
         if AFTER.match(after):
             f["NAME:after"] = 1.0
-    if FIRM.match(after) or re.search(r"(?i)\b(?:ltd|gmbh|llc|inc|sarl|& co)\b", value):
+    if FIRM.match(after) or _FIRM_INSIDE.search(value):
         f["NAME:firm"] = 1.0
-    words = [w.strip(".,").lower() for w in value.split()]
     if (words[0] in _NOT_NAME and form != "given_first") or (words[0] in _TITLE_WORDS and (words[0], form) != ("m", "initials")) or any(w in _NOT_NAME and w != "bill" for w in words[1:]):
         f["NAME:common"] = 1.0
     if form == "capitals":
@@ -266,13 +291,14 @@ def _name(text: str, begin: int, end: int, form: str, places: Gazetteer) -> tupl
         upper = sum(w.isupper() for w in value.split() if len(w.strip(".")) > 1)
         if upper:
             f["NAME:upper" if upper == len(words) else "NAME:mixed"] = 1.0
-        if places.is_town(value, False) or any(places.is_town(w, False) or plain(w).replace("-", " ") in places.countries for w in words):
+        keys = [_key(w) for w in words]
+        if any(k in places.towns or k.replace("-", " ") in places.countries for k in keys) or (keys[0] in places.town_words and places.is_town(value, False)):
             f["NAME:place"] = 1.0
     title = TITLED.search(before)
-    one, other = _around(text, begin - len(title[0]) if title else begin, end)
-    if any(plain(w) in places.trades or w.replace(".", "") in nm.LEGAL for w in (*words, one, other)):
+    one, other = _sign(_BEFORE_SIGN.search(before[: len(before) - len(title[0])][-24:] if title else before[-24:])), behind
+    if "NAME:trade" not in f and (_key(one) in places.trades or one.replace(".", "") in nm.LEGAL):
         f["NAME:trade"] = 1.0
-    if one.isalpha() and text[begin - 1 : begin] == " " and re.search(rf"(?<![\w]){_ANY} $", before):
+    if one.isalpha() and text[begin - 1 : begin] == " " and _CAPITAL_BEFORE.search(before[-24:]):
         f["NAME:inside"] = 1.0
     f[f"NAME:prev={one}"] = f[f"NAME:next={other}"] = 1.0
     if one.isalpha() and text[begin - 2 : begin - 1].islower():
@@ -282,6 +308,24 @@ def _name(text: str, begin: int, end: int, form: str, places: Gazetteer) -> tupl
     return begin, end, "NAME", f
 
 
+def _announced(text: str, low: str) -> set[int]:
+    """Where a name would begin behind a word that announces one, with and without a title between: M. is a title or an initial."""
+    if len(low) != len(text):  # a letter whose small form is longer
+        low = "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
+    out = set()
+    for cues, whole in ((_CUES, False), (_WHOLE, True)):
+        for cue in cues:
+            at = low.find(cue + " ")
+            while at >= 0:
+                end = at + len(cue) + 1
+                if not whole or not at or not (low[at - 1].isalnum() or low[at - 1] == "_"):
+                    out.add(end)
+                    if title := _TITLE_AT.match(text, end):
+                        out.add(title.end())
+                at = low.find(cue + " ", end - 1)
+    return out
+
+
 def candidates(text: str, places: Gazetteer) -> list[tuple[int, int, str, dict[str, float]]]:
     """``(begin, end, type, features)`` of every span that could be a mention.
 
@@ -303,55 +347,63 @@ def candidates(text: str, places: Gazetteer) -> list[tuple[int, int, str, dict[s
                 f["EMAIL:hidden_dot"] = 0.8
             if len(v) <= LONGEST["EMAIL"]:
                 out.append((m.start(), m.end(), "EMAIL", f))
-    for m in PHONE.finditer(text):
+    low = text.lower()
+    named: set[tuple[int, int]] = set()  # one reading a span: the first, which is the more telling form
+
+    def name(begin: int, end: int, form: str) -> None:
+        if (begin, end) not in named:
+            named.add((begin, end))
+            if c := _name(text, begin, end, form, places):
+                out.append(c)
+
+    for m in PHONE.finditer(text) if _PHONE_DIGITS.search(text) else ():
         out.append((m.start(), m.end(), "PHONE", {"PHONE": 1.0} | ({"PHONE:long": 1.0} if sum(c.isdigit() for c in m[0]) >= 10 else {})))
-    for m in _ID_CUE.finditer(text):
+    for m in _ID_CUE.finditer(text) if any(x in low for x in _ID_PARTS) else ():
         if (v := _ID_VALUE.match(text, m.end())) and any(c.isdigit() for c in v[0]):
             out.append((v.start(), v.end(), "ID", {"ID:cue": 1.0}))
     for m in _ID_MARKED.finditer(text):
         out.append((m.start(), m.end(), "ID", {"ID:bare": 1.0, "ID:marked": 1.0}))
-    at = 0
-    for line in text.split("\n"):
-        low, at = at, at + len(line) + 1
-        if len(line) < 6 or not _DIGIT.search(line):
-            continue
-        streets = [(m, {}) for m in STREET.finditer(text, low, low + len(line))] if places.kinds and _STREETLIKE.search(line) else []
-        streets += [(m, {"ADDRESS:unnamed": 1.0}) for m in UNNAMED_STREET.finditer(text, low, low + len(line) + 1)]
-        for m, how in streets:
-            where = {"ADDRESS:where": 1.0} if WHERE.search(text[max(0, m.start() - 80) : m.start()]) else {}
-            for begin, front in [(m.start(), {}), *_front(text, m.start(), places)]:
-                for end, f in _tail(text, m.end(), places, {"ADDRESS": 1.0, **how, **where, **front}):
-                    if end - begin <= LONGEST["ADDRESS"]:
-                        out.append((begin, end, "ADDRESS", f))
-    if not places.given.isdisjoint(map(str.lower, _WORDS.findall(text))):
+    words = set(_LETTERS.findall(low))
+    street = places.kinds and (not words.isdisjoint(_KIND_WORDS) or any(w.endswith(_KIND_ENDS) for w in words) or any(x in low for x in _KIND_SHORT))
+    streets = [(m, {}) for m in STREET.finditer(text)] if street else []
+    streets += [(m, {"ADDRESS:unnamed": 1.0}) for m in UNNAMED_STREET.finditer(text)]
+    for m, how in streets:
+        where = {"ADDRESS:where": 1.0} if WHERE.search(text[max(0, m.start() - 80) : m.start()]) else {}
+        for begin, front in [(m.start(), {}), *_front(text, m.start(), places)]:
+            for end, f in _tail(text, m.end(), places, {"ADDRESS": 1.0, **how, **where, **front}):
+                if end - begin <= LONGEST["ADDRESS"]:
+                    out.append((begin, end, "ADDRESS", f))
+    if not places.given.isdisjoint(words):
         for w in _WORDS.finditer(text):
             if w[0].lower() not in places.given:
                 continue
-            if (m := _AFTER_GIVEN.match(text, w.end())) and (c := _name(text, w.start(), m.end(), "given_first", places)):
-                out.append(c)
+            if m := _AFTER_GIVEN.match(text, w.end()):
+                name(w.start(), m.end(), "given_first")
             if m := _SURNAME_BEFORE.search(text, max(0, w.start() - 60), w.start()):
                 behind = _INITIAL_BEHIND.match(text, w.end())
                 for end in {w.end(), behind.end()}:
-                    if c := _name(text, m.start(), end, "given_last" if m[1] else "given_after", places):
-                        out.append(c)
-    for m in SPEAKS.finditer(text) if places.kinds else ():
-        for begin in {m.end("cue") + 1, m.end()}:  # M. is a title or an initial
-            for form, pattern in SPOKEN_FORMS:
-                if (v := pattern.match(text, begin)) and (c := _name(text, v.start(), v.end(), form, places)):
-                    out.append(c)
+                    name(m.start(), end, "given_last" if m[1] else "given_after")
+    for begin in _announced(text, low) if places.kinds else ():
+        for form, pattern in SPOKEN_FORMS:
+            if v := pattern.match(text, begin):
+                name(begin, v.end(), form)
     for m in _CAPITALS.finditer(text):
         # a span of three words may begin with the word before a name
         for v in (m, _CAPITALS.match(text, m.start() + m[0].index(" ") + 1)):
-            if v and (c := _name(text, v.start(), v.end(), "capitals", places)):
-                out.append(c)
+            if v:
+                name(v.start(), v.end(), "capitals")
     once: dict[tuple, dict[str, float]] = {}
-    for b, e, t, f in out:  # one reading a span: the first, which is the more telling form
+    for b, e, t, f in out:
         once.setdefault((b, e, t), f)
     if once and "  " in text:
-        for m in _PRICED.finditer(text):
-            for (b, e, _), f in once.items():
-                if m.start() <= b and e <= m.end():
-                    f["PRICED"] = 1.0
+        lines: dict[tuple[int, int], bool] = {}
+        for (b, e, _), f in once.items():
+            line = (text.rfind("\n", 0, b) + 1, text.find("\n", b))
+            line = (line[0], line[1] if line[1] >= 0 else len(text))
+            if line not in lines:
+                lines[line] = _PRICED.fullmatch(text, *line) is not None
+            if lines[line] and e <= line[1]:
+                f["PRICED"] = 1.0
     return [(*k, f) for k, f in once.items()]
 
 
@@ -419,7 +471,7 @@ def fit(texts: list[tuple[str, list[tuple[int, int, str]]]], places: Gazetteer,
     """
     r = random.Random(seed)
     bare = Gazetteer([], [], [])
-    bare.trades = places.trades
+    bare.trades, bare.town_words = places.trades, places.town_words
     bare.towns, bare.countries, bare.common, bare.trie, bare.kinds = places.towns, places.countries, places.common, places.trie, False
     data = []
     for text, gold in texts:
