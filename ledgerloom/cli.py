@@ -8,8 +8,8 @@ import sys
 from pathlib import Path
 
 from ledgerloom.functions import schemas
+from ledgerloom.providers.base import CATALOG, DEFAULT_MODEL
 
-DEFAULT_MODEL = "claude-haiku"
 
 
 def parser() -> argparse.ArgumentParser:
@@ -18,7 +18,7 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("schema", nargs="?")
     p.add_argument("-m", "--model", default=DEFAULT_MODEL)
     p.add_argument("-o", "--output", type=Path)
-    p.add_argument("--catalog", help="Parquet table of models: name, provider, model_id, supports_vision")
+    p.add_argument("--catalog", help="Parquet table of models, instead of the known ones: name, provider, model_id, supports_vision, input_price, output_price")
     p.add_argument("--pretty", action="store_true")
     p.add_argument("--list-models", action="store_true")
     p.add_argument("--list-schemas", action="store_true")
@@ -30,7 +30,8 @@ def model_lines(rows: list[dict]) -> list[str]:
     out = []
     for provider in sorted({r["provider"] for r in rows}):
         out.append(f"{provider.upper()}:")
-        out += [f"  {r['name']:<20} {r['model_id']}{' (vision)' if r['supports_vision'] else ''}" for r in sorted(rows, key=lambda r: r["name"]) if r["provider"] == provider]
+        price = lambda r: "" if r.get("input_price") is None else " free" if r["input_price"] == 0 == r["output_price"] else f" {r['input_price']}/{r['output_price']}"
+        out += [f"  {r['name']:<20} {r['model_id']}{price(r)}{' (vision)' if r['supports_vision'] else ''}" for r in sorted(rows, key=lambda r: r["name"]) if r["provider"] == provider]
     return out
 
 
@@ -48,7 +49,9 @@ def main(argv: list[str] | None = None, provider=None) -> int:
     from ledgerloom.session import local_session
 
     def catalog() -> list[dict]:
-        return [r.asDict() for r in local_session(2).read.parquet(args.catalog).select("name", "provider", "model_id", "supports_vision").collect()] if args.catalog else []
+        if not args.catalog:
+            return [{"name": n, "provider": p, "model_id": i, "supports_vision": v} for n, (p, i, v) in CATALOG.items()]
+        return [r.asDict() for r in local_session(2).read.parquet(args.catalog).collect()]
 
     if args.list_models:
         print("\n".join(model_lines(catalog())))
@@ -73,7 +76,12 @@ def main(argv: list[str] | None = None, provider=None) -> int:
     except ValueError as e:
         print(f"Error: {e}", file=sys.stderr)
         return 1
-    maker = (lambda: provider) if provider else (lambda: make(args.model, known))
+    try:
+        maker = (lambda: provider) if provider else (lambda: make(args.model, known))
+        maker()
+    except ValueError as e:
+        print(f"Error: {e}", file=sys.stderr)
+        return 1
     row = extract(routed(from_paths(local_session(2), [args.file_path])), schema, maker, args.model, name, vision).first()
     if not row["success"]:
         print(f"Error: {row['error']}", file=sys.stderr)

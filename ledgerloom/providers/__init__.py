@@ -1,5 +1,5 @@
-"""Model providers: the interface, adapters to public SDKs, and a deterministic one for tests."""
+"""Model providers."""
 
-from ledgerloom.providers.base import AnthropicProvider, Completion, OllamaProvider, OpenAIProvider, Provider, StubProvider, make, resolve
+from ledgerloom.providers.base import CATALOG, DEFAULT_MODEL, PROVIDERS, AnthropicProvider, Completion, OllamaProvider, OpenAIProvider, Provider, StubProvider, make, resolve
 
-__all__ = ["AnthropicProvider", "Completion", "OllamaProvider", "OpenAIProvider", "Provider", "StubProvider", "make", "resolve"]
+__all__ = ["CATALOG", "DEFAULT_MODEL", "PROVIDERS", "AnthropicProvider", "Completion", "OllamaProvider", "OpenAIProvider", "Provider", "StubProvider", "make", "resolve"]

@@ -8,6 +8,14 @@ from dataclasses import dataclass, field
 from typing import Protocol, runtime_checkable
 
 MAX_TOKENS, TEMPERATURE = 2048, 0.0
+DEFAULT_MODEL = "claude-haiku"
+#: The models known by name: provider, the provider's id, whether it reads images. Prices come with a table of models.
+CATALOG = {
+    "claude-haiku": ("anthropic", "claude-3-haiku-20240307", True), "claude-haiku-4": ("anthropic", "claude-haiku-4-5-20251001", True), "claude-sonnet": ("anthropic", "claude-sonnet-4-5-20250929", True),
+    "claude-sonnet-3.7": ("anthropic", "claude-3-7-sonnet-20250219", True), "claude-opus": ("anthropic", "claude-opus-4-5-20251101", True),
+    "gpt-4o": ("openai", "gpt-4o", True), "gpt-4o-mini": ("openai", "gpt-4o-mini", True), "gpt-4-turbo": ("openai", "gpt-4-turbo", True), "gpt-4": ("openai", "gpt-4", False),
+    "llama3": ("ollama", "llama3:latest", False), "llama3.2": ("ollama", "llama3.2:latest", False), "mistral": ("ollama", "mistral:latest", False), "llava": ("ollama", "llava:latest", True), "llava-llama3": ("ollama", "llava-llama3:latest", True),
+}
 
 
 @dataclass
@@ -38,9 +46,15 @@ class _Remote:
     """What the adapters share: the model's row, the guarded call and the vision gate."""
 
     name = ""
+    #: Environment variable of the key, and whose key it is; none for a local model.
+    key: tuple[str, str] | None = None
 
     def __init__(self, model: str, model_id: str, vision: bool, api_key: str | None = None, base_url: str | None = None):
-        self.model, self.model_id, self.vision, self.api_key, self.base_url = model, model_id, vision, api_key, base_url
+        self.model, self.model_id, self.vision, self.base_url = model, model_id, vision, base_url
+        self.api_key = _key(self.key[0], api_key, self.key[1]) if self.key else api_key
+
+    def info(self) -> dict:
+        return {"name": self.model, "id": self.model_id, "provider": self.name, "supports_vision": self.vision}
 
     def ask(self, prompt: str, image: bytes | None = None, media_type: str = "image/jpeg") -> Completion:
         if image is not None and not self.vision:
@@ -57,13 +71,14 @@ class _Remote:
 
 def _key(name: str, given: str | None, owner: str) -> str:
     key = given or os.environ.get(name)
-    if not key:
+    if not key:  # Fixed values: the text of the failure
         raise ValueError(f"{owner} API key required. Set {name} env var or pass api_key.")
     return key
 
 
 class AnthropicProvider(_Remote):
     name = "anthropic"
+    key = ("ANTHROPIC_API_KEY", "Anthropic")
 
     def _send(self, prompt, image, media_type):
         import anthropic
@@ -71,19 +86,20 @@ class AnthropicProvider(_Remote):
         content = [{"type": "text", "text": prompt}]
         if image is not None:
             content.insert(0, {"type": "image", "source": {"type": "base64", "media_type": media_type, "data": image}})
-        client = anthropic.Anthropic(api_key=_key("ANTHROPIC_API_KEY", self.api_key, "Anthropic"), base_url=self.base_url)
+        client = anthropic.Anthropic(api_key=self.api_key, base_url=self.base_url)
         r = client.messages.create(model=self.model_id, max_tokens=MAX_TOKENS, temperature=TEMPERATURE, messages=[{"role": "user", "content": content if image is not None else prompt}])
         return Completion(True, r.content[0].text, r.usage.input_tokens, r.usage.output_tokens, self.model_id, metadata={"stop_reason": r.stop_reason})
 
 
 class OpenAIProvider(_Remote):
     name = "openai"
+    key = ("OPENAI_API_KEY", "OpenAI")
 
     def _send(self, prompt, image, media_type):
         import openai
 
         content = prompt if image is None else [{"type": "image_url", "image_url": {"url": f"data:{media_type};base64,{image}"}}, {"type": "text", "text": prompt}]
-        client = openai.OpenAI(api_key=_key("OPENAI_API_KEY", self.api_key, "OpenAI"), base_url=self.base_url)
+        client = openai.OpenAI(api_key=self.api_key, base_url=self.base_url)
         r = client.chat.completions.create(model=self.model_id, max_tokens=MAX_TOKENS, temperature=TEMPERATURE, messages=[{"role": "user", "content": content}])
         used = r.usage
         return Completion(True, r.choices[0].message.content or "", used.prompt_tokens if used else 0, used.completion_tokens if used else 0, self.model_id, metadata={"finish_reason": r.choices[0].finish_reason})

@@ -2,12 +2,20 @@
 
 from __future__ import annotations
 
+import atexit
+import re
+import shutil
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: What has been written for a lineage cut and not been cleaned, by session.
+_WRITTEN: dict[str, list[str]] = {}
+#: A table of so few bytes, by Spark's own estimate, is broadcast without being counted.
+SMALL_BYTES = 1 << 20
+
 
 def local_session(cores: int | str = "*", app: str = "ledgerloom", memory: str = "8g") -> SparkSession:
     """A single-JVM session for tests, benches and the command line."""
@@ -31,31 +39,67 @@ def table(spark: SparkSession, root: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """Folder that all executors see: the session's ``spark.checkpoint.dir``.
 
-    Only where that is unset (tests, a single machine) a temporary folder is
-    made, once per session.
+    Only where that is unset and all runs in one process (tests, a single
+    machine) a temporary folder is made, once per session, and removed at its
+    end; a cluster without the setting is an error.
     """
     key = "spark.checkpoint.dir"
     found = spark.conf.get(key, None) or spark.sparkContext.getConf().get(key, None)
     if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="ledgerloom-")
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise RuntimeError(f"{key} must name a folder that all executors share")
+        folder = tempfile.mkdtemp(prefix="ledgerloom-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        found = "file://" + folder
         spark.conf.set(key, found)
     return found
 
 
+def new_path(spark: SparkSession, name: str) -> str:
+    """A path in the shared folder that nothing has, to be cleaned with the rest."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _WRITTEN.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` written to the shared folder and read again.
 
     Cuts the lineage so that a lost executor costs a re-read, not a re-run, and
-    so that a stage used twice runs once.
+    so that a stage used twice runs once.  See :func:`clean`.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = new_path(spark, name)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def clean(spark: SparkSession) -> int:
+    """Deletes what :func:`written` has left in the shared folder; results that still read it must be stored before."""
+    paths = _WRITTEN.pop(spark.sparkContext.applicationId, [])
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    for p in paths:
+        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(p)
+        at.getFileSystem(conf).delete(at, True)
+    return len(paths)
+
+
+def _estimate(df: DataFrame) -> int | None:
+    """Spark's estimate of the bytes of a plan that only reads and narrows files; null where it cannot say."""
+    try:
+        return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    except Exception:  # noqa: BLE001 - a session without a JVM at hand
+        return None
+
+
 def bounded(df: DataFrame, rows: int = 10_000) -> DataFrame:
-    """``df`` with a broadcast hint if it is proven to hold at most ``rows`` rows."""
+    """``df`` with a broadcast hint if it is proven to hold at most ``rows`` rows, or its files are small.
+
+    Parameter tables are known by the size of their files and cost no job.
+    """
+    estimate = _estimate(df)
+    if estimate is not None and estimate <= SMALL_BYTES:
+        return F.broadcast(df)
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 

