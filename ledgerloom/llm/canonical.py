@@ -11,12 +11,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.functions.currency import Currencies
-from ledgerloom.functions.ngrams import nearest, plain
-from ledgerloom.session import bounded
+from ledgerloom.functions.ngrams import plain
+from ledgerloom.session import bounded, written
 
 UNMATCHED = "UNMATCHED"
 THRESHOLD, MARGIN = 0.3, 0.02
-#: Further ways to say a payment method.
+#: Further ways to say a payment method, which no spelling of the listed ones leads to.
 PAYMENT_FORMS = {
     "cash": ["bar", "bar bezahlt", "barzahlung", "efectivo", "comptant", "csh", "cash money", "in cash", "paid cash", "liquide", "contanti"],
     "credit_card": ["cc", "credit", "card credit", "credit crd", "crd card", "tarjeta de credito", "kredit karte", "creditcard", "visa", "mastercard"],
@@ -31,17 +31,53 @@ PAYMENT_FORMS = {
     "cash_on_delivery": ["cod", "c o d", "cash delivery", "paid on delivery in cash", "per nachnahme", "contre remb", "contre remboursement"],
     "money_order": ["m o", "postal order", "money ordr", "mandat poste", "mandat", "post anweisung"],
 }
-#: Entries that are near some form and yet no method of the list.
-NO_PAYMENT = ["barter", "trade in", "crypto", "bitcoin", "points", "bonus points", "sunflower tokens", "tokens", "iou", "house account", "other", "mixed", "various", "unknown", "see notes", "see receipt", "tbc", "tbd", "n a", "na", "none"]
-#: Entries that are near some currency and yet none.
-NO_CURRENCY = ["kronthaler", "thaler", "florins", "guilders", "credits", "barter units", "loyalty points", "local currency", "as agreed", "see contract", "mixed", "various", "tbd", "n a"]
 
 
-def match(entries: DataFrame, forms: DataFrame, rejected: list[str], threshold: float = THRESHOLD, margin: float = MARGIN) -> DataFrame:
-    """``(value, code)`` of distinct plain ``entries(value)``; those near nothing, or nearest to a rejected form, have no row."""
-    none = entries.sparkSession.createDataFrame([(x, UNMATCHED) for x in rejected], "form string, code string")
-    found = nearest(entries.select("value"), forms.select("form", "code").unionByName(none), threshold, margin)
-    return found.where(F.col("code") != UNMATCHED).select("value", "code")
+def grams(text: Column, n: int = 2) -> Column:
+    """The distinct n-grams of a text between two marks; a null has none."""
+    s = F.concat(F.lit("^"), text, F.lit("$"))
+    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(s) - (n - 1), F.lit(1))), lambda i: F.substring(s, i, F.lit(n))))
+
+
+def nearest(values: DataFrame, forms: DataFrame, threshold: float, margin: float, short: int = 4, edits: float = 0.28) -> DataFrame:
+    """``(value, code, score)`` of every ``values(value)`` that is near enough to one ``forms(form, code)``.
+
+    Both sides are plain text (see :func:`plain`).  Candidates come from an
+    inverted index of the forms' bigrams; a value is accepted if the best code's
+    cosine reaches ``threshold`` and leads the next code by ``margin``, and if
+    the edit distance to the form is at most ``edits`` of the longer text.  Forms
+    of up to ``short`` letters must agree exactly.  A value that is a form is
+    that form.  Ties between codes are not accepted.
+    """
+    known = written(forms.where(F.length("form") > 0).select("form", "code").distinct(), "forms")
+    n = known.select("form").distinct().count()
+    posted = known.select("form", "code", F.explode(grams(F.col("form"))).alias("gram"))
+    df = posted.groupBy("gram").agg(F.countDistinct("form").alias("df"))
+    weighted = posted.join(df, "gram").withColumn("w", F.log(1 + F.lit(float(n)) / F.col("df")))
+    norms = weighted.groupBy("form", "code").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
+    # written, so that the plan of the values reads it and does not hold how it came about
+    index = written(weighted.select("gram", "form", "code", "w").join(norms, ["form", "code"]).groupBy("gram").agg(F.first("w").alias("w"), F.collect_list(F.struct("form", "code", "norm")).alias("posts")), "form-index")
+    asked = values.where(F.length("value") > 0).select("value").distinct()
+    # A gram that no form has weighs as much as the rarest.
+    exploded = asked.select("value", F.explode(grams(F.col("value"))).alias("gram")).join(bounded(index), "gram", "left").withColumn("w", F.coalesce("w", F.log(1 + F.lit(float(n)))))
+    scored = (
+        exploded.groupBy("value")
+        .agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("vnorm"), F.collect_list(F.struct(F.coalesce("posts", F.array().cast("array<struct<form:string,code:string,norm:double>>")).alias("posts"), "w")).alias("hits"))
+        .select("value", "vnorm", F.explode("hits").alias("h"))
+        .select("value", "vnorm", F.col("h.w").alias("w"), F.explode("h.posts").alias("p"))
+        .groupBy("value", "p.form", "p.code")
+        .agg((F.sum(F.col("w") * F.col("w")) / F.first(F.col("vnorm") * F.col("p.norm"))).alias("score"))
+        .withColumn("score", F.when(F.col("value") == F.col("form"), 1.0).when((F.length("form") <= short) | (F.levenshtein("value", "form") > F.greatest(F.lit(2.0), edits * F.greatest(F.length("value"), F.length("form")))), 0.0).otherwise(F.least(F.col("score"), F.lit(0.9999))))
+    )
+    by_code = scored.groupBy("value", "code").agg(F.max("score").alias("score"))
+    ranked = by_code.groupBy("value").agg(F.sort_array(F.collect_list(F.struct("score", "code")), asc=False).alias("r"))
+    first, second = F.col("r")[0], F.coalesce(F.get("r", F.lit(1))["score"], F.lit(0.0))
+    return ranked.where((first["score"] >= threshold) & ((first["score"] - second >= margin) | ((first["score"] == 1) & (second < 1)))).select("value", first["code"].alias("code"), first["score"].alias("score"))
+
+
+def match(entries: DataFrame, forms: DataFrame, threshold: float = THRESHOLD, margin: float = MARGIN) -> DataFrame:
+    """``(value, code)`` of distinct plain ``entries(value)``; those near nothing have no row."""
+    return nearest(entries.select("value"), forms.select("form", "code"), threshold, margin).select("value", "code")
 
 
 def _bare(entry: Column) -> Column:
@@ -60,7 +96,7 @@ def payment_codes(receipts: DataFrame, methods: DataFrame) -> DataFrame:
     listed = methods.select("code", F.explode(F.concat(F.array("label", F.replace("code", F.lit("_"), F.lit(" "))), F.coalesce("local_names", F.array().cast("array<string>")))).alias("raw")).where("raw is not null")
     forms = listed.select(plain(F.col("raw")).alias("form"), "code").unionByName(_extra(spark, PAYMENT_FORMS, methods)).distinct()
     rows = receipts.where(F.col("payment_method").isNotNull()).select("record_id", _bare(F.col("payment_method")).alias("value"))
-    return _labelled(rows, match(rows, forms, NO_PAYMENT)).select("record_id", F.coalesce("code", F.lit(UNMATCHED)).alias("canonical"))
+    return _labelled(rows, match(rows, forms)).select("record_id", F.coalesce("code", F.lit(UNMATCHED)).alias("canonical"))
 
 
 def _extra(spark, forms: dict[str, list[str]], methods: DataFrame) -> DataFrame:
@@ -82,7 +118,7 @@ def currency_codes(invoices: DataFrame, systems: DataFrame, currency_table: Data
     # signs have no letters: the index holds them as they are
     distinct = rows.select("stripped").distinct().select("stripped", known.is_shared(F.col("stripped")).alias("shared"), known.exact(F.col("stripped")).alias("exact"), plain(F.col("stripped")).alias("plain"))
     asked = distinct.where("not shared").select("stripped", F.coalesce(F.lower("exact"), "plain").alias("value"))
-    found = match(asked.select("value"), known.table(spark), NO_CURRENCY)
+    found = match(asked.select("value"), known.table(spark))
     named = distinct.join(asked.join(found, "value", "left").select("stripped", "code"), "stripped", "left").select("stripped", "shared", "code")
     default = systems.select("source_system", F.col("default_currency").alias("_default"))
     joined = _labelled(rows, named, "stripped").join(bounded(default), "source_system", "left")

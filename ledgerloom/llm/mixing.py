@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.llm.tokens import count_tokens
-from ledgerloom.session import bounded, written
+from ledgerloom.session import bounded, small_batches, written
 
 STEPS, CLOSE = 100, 1e-6
 BUCKETS = 4096
@@ -66,7 +66,7 @@ def tilt(docs: DataFrame, goal: dict[str, float], caps: dict[str, float]) -> tup
     bounds = {s: (-math.inf, math.inf) for s in live}
     open_, steps = set(live) - full, 0
     while open_:
-        at = F.broadcast(spark.createDataFrame([(s, *state[s], float(caps[s])) for s in sorted(open_)], "key string, b double, mean double, cap double"))
+        at = bounded(spark.createDataFrame([(s, *state[s], float(caps[s])) for s in sorted(open_)], "key string, b double, mean double, cap double"))
         x = F.col("n_tokens") / F.col("mean")
         rate = _rates(F.col("b"), x, F.col("cap"))
         free = F.when(rate < F.col("cap"), rate).otherwise(0.0)
@@ -101,7 +101,8 @@ def mixed(documents: DataFrame, targets: DataFrame, vocabulary: str | None = Non
     """
     spark = documents.sparkSession
     target = {r["key"]: r for r in targets.select(source_key(F.col("source")).alias("key"), "source", "target_share", "max_repeats").collect() if r["key"] is not None}
-    counted = written(count_tokens(documents.select("doc_id", source_key(F.col("source")).alias("key"), "text"), vocabulary), "mix-tokens")
+    with small_batches(spark):
+        counted = written(count_tokens(documents.select("doc_id", source_key(F.col("source")).alias("key"), "text"), vocabulary), "mix-tokens")
     sizes = written(counted.groupBy("key", "n_tokens").agg(F.count("*").alias("n")), "mix-sizes")
     tokens = {r["key"]: float(r["t"] or 0) for r in sizes.groupBy("key").agg(F.sum(F.col("n_tokens") * F.col("n")).alias("t")).where(F.col("key").isin(*target) | F.lit(False)).collect()} if target else {}
     whole = float(counted.agg(F.sum("n_tokens")).first()[0] or 0)
@@ -109,7 +110,7 @@ def mixed(documents: DataFrame, targets: DataFrame, vocabulary: str | None = Non
     goal = budgets(tokens | {"": whole - sum(tokens.values())}, shares, caps) if target else {}
     state, _ = tilt(sizes.where(F.col("key").isNotNull()), goal, caps)
     rows = [(s, target[s]["source"], *state[s], caps[s], goal[s]) for s in state]
-    at = F.broadcast(spark.createDataFrame(rows, "key string, source_name string, b double, mean double, cap double, goal double"))
+    at = bounded(spark.createDataFrame(rows, "key string, source_name string, b double, mean double, cap double, goal double"))
     rate = F.when(F.col("cap").isNull(), 0.0).otherwise(_rates(F.col("b"), F.col("n_tokens") / F.col("mean"), F.col("cap")))
     unit = (F.pmod(F.xxhash64(F.col("doc_id"), F.lit("mix")), F.lit(1 << 40)) / float(1 << 40)).alias("u")
     drawn = counted.join(at, "key", "left").select("doc_id", "key", "source_name", "n_tokens", rate.alias("rate"), "goal", unit).withColumn("part", F.col("rate") - F.floor("rate"))
@@ -125,7 +126,7 @@ def mixed(documents: DataFrame, targets: DataFrame, vocabulary: str | None = Non
             seen += t
             if abs(left - seen) < best_gap:
                 cut[s], best_gap = bucket, abs(left - seen)
-    limit = F.broadcast(spark.createDataFrame(list(cut.items()), "key string, cut int"))
+    limit = bounded(spark.createDataFrame(list(cut.items()), "key string, cut int"))
     copies = F.coalesce(F.floor("rate") + F.when((F.col("part") > 0) & (excess <= F.col("cut")), 1).otherwise(0), F.lit(0)).cast("int")
     return drawn.join(limit, "key", "left").select("doc_id", F.coalesce("source_name", "key").alias("source"), "n_tokens", "rate", copies.alias("copies"))
 

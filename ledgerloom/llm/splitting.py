@@ -17,22 +17,24 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.llm.tokens import Block, blocks_of, bpe, vocabulary_path
-from ledgerloom.session import text_batches
+from ledgerloom.session import small_batches, written
 
 #: Signs: inside a word, end of a word, of a line, of a paragraph, of a cell.
 INSIDE, WORD, LINE, PARAGRAPH, CELL = "i", "w", "l", "p", "c"
-#: A word of more tokens is cut into parts of so many characters.
-LONG_TOKENS, PART_CHARS = 32, 16
+#: A word of more tokens is cut into parts of so many characters; less where a limit is smaller, as a character has up to four tokens.
+LONG_TOKENS, PART_CHARS, CHAR_TOKENS = 32, 16, 4
 #: Texts are read in runs of so many bytes.
 SPLIT_BYTES = 1 << 20
 
 
-def _units(block: Block, coder) -> tuple[np.ndarray, np.ndarray]:
+def _units(block: Block, coder, least: int) -> tuple[np.ndarray, np.ndarray]:
     """First code point of every unit, and its tokens.
 
     Units are pre-tokens; white space is cut once more after its last line end,
-    and what has many tokens into parts of a few characters.
+    and what has many tokens into parts of a few characters, none of more than
+    ``least`` tokens.
     """
+    long_tokens, part_chars = min(LONG_TOKENS, least), max(1, min(PART_CHARS, least // CHAR_TOKENS))
     points, starts = block.points, block.starts
     size = np.fromiter((len(coder.encode_single_piece(w)) for w in block.words), np.int64, len(block.words))
     weight = size[block.slots]
@@ -50,11 +52,11 @@ def _units(block: Block, coder) -> tuple[np.ndarray, np.ndarray]:
         return n
 
     extra: dict[int, list[tuple[int, int]]] = {}
-    for i in np.flatnonzero(has_line[block.slots] | (weight > LONG_TOKENS)):
+    for i in np.flatnonzero(has_line[block.slots] | (weight > long_tokens)):
         a, e = int(starts[i]), int(ends[i])
         word = text[a:e]
-        if weight[i] > LONG_TOKENS:
-            cuts = list(range(0, e - a, PART_CHARS))
+        if weight[i] > long_tokens:
+            cuts = list(range(0, e - a, part_chars))
             last_line = word.rfind("\n") + 1
             if last_line and last_line < e - a:
                 cuts = sorted({*cuts, last_line})
@@ -75,10 +77,10 @@ def _units(block: Block, coder) -> tuple[np.ndarray, np.ndarray]:
     return begin[order], count[order]
 
 
-def _signs(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
+def _signs(batches: Iterator[pa.RecordBatch], path: str, least: int) -> Iterator[pa.RecordBatch]:
     coder = bpe(path)
     for rows, block in blocks_of(batches, "text", SPLIT_BYTES):
-        begin, count = _units(block, coder)
+        begin, count = _units(block, coder, least)
         end = np.append(begin[1:], len(block.points))
         last = block.points[np.maximum(end - 1, 0)] if len(end) else end
         kind = np.full(len(begin), ord(WORD), np.uint8)
@@ -177,19 +179,21 @@ def split(documents: DataFrame, limits: DataFrame, vocabulary: str | None = None
     ``max_tokens``; ``overlap_tokens`` is what the piece shares with the one
     before, at most that of the limit, rounded to whole words.  Pieces cover the
     text without a gap.  Texts within a limit, null and empty ones have no
-    pieces.  The limits are a parameter table: they come to the driver.
+    pieces.  The limits are a parameter table: they come to the driver.  The
+    pieces are written to the shared folder, as long texts pass in small batches.
     """
     path = vocabulary or vocabulary_path()
     rules = [(r["limit_name"], int(r["max_tokens"]), int(r["overlap_tokens"])) for r in limits.select("limit_name", "max_tokens", "overlap_tokens").collect()]
     for name, most, overlap in rules:
-        if most < 2 * LONG_TOKENS or not 0 <= overlap <= most // 2:
-            raise ValueError(f"limit {name}: at least {2 * LONG_TOKENS} tokens, overlap at most half of them")
+        if not 0 <= overlap <= most - CHAR_TOKENS:
+            raise ValueError(f"limit {name}: the overlap must leave room for {CHAR_TOKENS} new tokens, which one character may have")
     if not rules:
         return documents.sparkSession.createDataFrame([], "doc_id long, limit_name string, piece_no int, start_char long, end_char long, n_tokens int, overlap_tokens int, text string")
     cells = F.transform("cells", lambda c: c["end_char"]) if "cells" in documents.columns else F.lit(None).cast("array<bigint>")
     # a text of fewer bytes than the least limit has no more tokens
     docs = documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), cells.alias("cell_ends")).where(F.octet_length("text") > min(m for _, m, _ in rules))
-    text_batches(documents.sparkSession)
-    signed = docs.mapInArrow(lambda it: _signs(it, path), "doc_id long, text string, signs string, unit_tokens array<int>, unit_chars array<int>")
+    signed = docs.mapInArrow(lambda it: _signs(it, path, min(m - o for _, m, o in rules)), "doc_id long, text string, signs string, unit_tokens array<int>, unit_chars array<int>")
     cut = signed.select("doc_id", "text", "unit_tokens", "unit_chars", _runs(rules).alias("runs")).where(F.size("runs") > 0)
-    return cut.mapInArrow(_pieces, "doc_id long, limit_name string, piece_no int, start_char long, end_char long, n_tokens int, overlap_tokens int, text string")
+    pieces = cut.mapInArrow(_pieces, "doc_id long, limit_name string, piece_no int, start_char long, end_char long, n_tokens int, overlap_tokens int, text string")
+    with small_batches(documents.sparkSession):
+        return written(pieces, "pieces")

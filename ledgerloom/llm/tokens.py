@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.session import text_batches, written
+from ledgerloom.session import small_batches, written
 
 BLOCK_BYTES = 4 << 20
 LETTER, NUMBER, SPACE, OTHER = 0, 1, 2, 3
@@ -209,8 +209,8 @@ def _to_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def corpus_blocks(docs: DataFrame) -> DataFrame:
     """``docs(doc_id, text)`` as blocks, written: doc ids, positions and word list."""
-    text_batches(docs.sparkSession)
-    return written(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_to_blocks, BLOCK_SCHEMA), "token-blocks")
+    with small_batches(docs.sparkSession):
+        return written(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_to_blocks, BLOCK_SCHEMA), "token-blocks")
 
 
 def encode_words(words: DataFrame, path: str) -> DataFrame:
@@ -285,9 +285,9 @@ def decode_corpus(encoded: DataFrame, vocabulary: str | None = None) -> DataFram
 def count_tokens(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
     """``docs`` with ``n_tokens``; a null or empty text has 0.
 
-    Needs no shuffle: the distinct words of a block are encoded where it is.
+    Needs no shuffle: the distinct words of a block are encoded where it is.  Run
+    it within :func:`ledgerloom.session.small_batches` where texts are long.
     """
-    text_batches(docs.sparkSession)
     path = vocabulary or vocabulary_path()
     keep = [c for c in docs.columns if c not in ("text", "n_tokens")]
     schema = docs.select(*keep).schema
