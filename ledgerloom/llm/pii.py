@@ -308,21 +308,28 @@ def _name(text: str, begin: int, end: int, form: str, places: Gazetteer) -> tupl
     return begin, end, "NAME", f
 
 
-def _announced(text: str, low: str) -> set[int]:
+#: The announcing words by their last word, each with whether it must begin a word.
+_BY_LAST: dict[str, list[tuple[str, bool]]] = {}
+for _cues, _whole in ((_CUES, False), (_WHOLE, True)):
+    for _cue in _cues:
+        _BY_LAST.setdefault(_LETTERS.findall(_cue)[-1], []).append((_cue + " ", _whole))
+
+
+def _announced(text: str, low: str, words: set[str]) -> set[int]:
     """Where a name would begin behind a word that announces one, with and without a title between: M. is a title or an initial."""
     if len(low) != len(text):  # a letter whose small form is longer
         low = "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
     out = set()
-    for cues, whole in ((_CUES, False), (_WHOLE, True)):
-        for cue in cues:
-            at = low.find(cue + " ")
+    for word in words & _BY_LAST.keys():
+        for cue, whole in _BY_LAST[word]:
+            at = low.find(cue)
             while at >= 0:
-                end = at + len(cue) + 1
+                end = at + len(cue)
                 if not whole or not at or not (low[at - 1].isalnum() or low[at - 1] == "_"):
                     out.add(end)
                     if title := _TITLE_AT.match(text, end):
                         out.add(title.end())
-                at = low.find(cue + " ", end - 1)
+                at = low.find(cue, end - 1)
     return out
 
 
@@ -383,7 +390,7 @@ def candidates(text: str, places: Gazetteer) -> list[tuple[int, int, str, dict[s
                 behind = _INITIAL_BEHIND.match(text, w.end())
                 for end in {w.end(), behind.end()}:
                     name(m.start(), end, "given_last" if m[1] else "given_after")
-    for begin in _announced(text, low) if places.kinds else ():
+    for begin in _announced(text, low, words) if places.kinds else ():
         for form, pattern in SPOKEN_FORMS:
             if v := pattern.match(text, begin):
                 name(begin, v.end(), form)
