@@ -8,21 +8,21 @@ from pyspark.sql import functions as F
 
 from ledgerloom.functions.ngrams import plain
 
-#: Further names and signs of listed currencies.
+#: further names and signs of listed currencies.
 EXTRA_FORMS = {
     "USD": ["US$", "us", "U.S. dollars", "American dollars"], "EUR": ["eurocent"], "GBP": ["pence", "penny", "British pounds", "sterling"], "CHF": ["Rappen", "SFr.", "centimes suisses"], "CAD": ["CA$", "C$", "Can$"],
     "AUD": ["A$", "AU$"], "INR": ["Rs", "Rs.", "paise", "paisa"], "SEK": ["öre"], "NOK": ["øre"], "PLN": ["grosz", "groszy"], "BRL": ["real"], "MXN": ["MX$"], "KWD": ["fils", "K.D."],
 }
-#: Signs and words that several currencies share, besides symbols listed more than once.
+#: signs and words that several currencies share, besides symbols listed more than once.
 SHARED_WORDS = ("cent", "cents", "dollar", "krone", "kr", "kr.", "franc", "peso", "centavos", "øre/öre")
-#: Words of scale.
+#: words of scale.
 THOUSAND_WORDS = r"\btsd\b\.?|\bthousands?\b|\btausend\b|\bmilliers?\b|\bmille\b|\(?'?\b000s?\)?|\b1[,.]?000\b"
 MINOR_WORDS = r"\bcents?\b|\bpence\b|\bpenny\b|\beurocents?\b|\brappen\b|\bpais[ae]\b|(?<!\p{L})[öø]re(?!\p{L})|\bgrosz(?:y|e)?\b|\bfils\b|\bcentavos?\b|\bcentimes?\b|\bminor units?\b"
-#: Sentences that settle the scale, in the order they are tried.
+#: sentences that settle the scale, in the order they are tried.
 MAJOR_TEXT = r"(?:full|whole) (?:currency )?units|vollen (?:währungs)?einheiten|unités entières|not in cents|not 1/100"
 THOUSAND_TEXT = r"\b(?:in|of|en|x) (?:'000|1[,.]?000\b|thousands?|tausend|milliers)|\bin tsd\b|\btausend\b"
 MINOR_TEXT = r"minor units?|smallest unit|in cents|\bin pence|1/100|hundertstel|en centimes"
-#: Openings of sentences that name the currency of a page.
+#: openings of sentences that name the currency of a page.
 CURRENCY_OPENINGS = r"(?:amounts?(?: are)?(?: (?:quoted|shown|given|stated))? in|(?:all )?prices(?: are)? in|rechnungswährung:?|settlement currency is|payable in|montants(?: exprimés)? en|beträge in|angaben in|currency:|devise ?:|währung:)"
 TOTAL_OPENINGS = r"(?:grand )?total(?: ttc)?|summe|gesamt(?:betrag)?|montant total|amount due"
 AMOUNT = r"-?\d[\d.,'  ]*"
@@ -51,10 +51,22 @@ class Currencies:
         self.forms = {f: next(iter(codes)) for f, codes in names.items() if f not in self.shared}
 
     def table(self, spark) -> DataFrame:
-        """The forms in plain writing, for :func:`ledgerloom.functions.ngrams.nearest`."""
+        """The forms in plain writing."""
         rows = spark.createDataFrame([(f, c) for f, c in sorted(self.forms.items())], "raw string, code string")
         return rows.select(plain(F.col("raw")).alias("form"), "code").where("length(form) > 1").distinct()
 
+    def mistyped(self, text: Column) -> Column:
+        """The code whose form is nearest to a plain text, within a quarter of its letters and clearly nearer than any other code's; null for short texts.
+
+        The forms are a parameter table of fixed size, so each text is held
+        against all of them where it is.
+        """
+        forms = F.array(*(F.struct(plain(F.lit(f)).alias("f"), F.lit(c).alias("c")) for f, c in sorted(self.forms.items()) if len(f) > 4))
+        ranked = F.array_sort(F.transform(forms, lambda x: F.struct((F.levenshtein(text, x["f"]) / F.greatest(F.length(text), F.length(x["f"]))).alias("d"), x["c"].alias("c"))))
+        first = F.get(ranked, F.lit(0))
+        other = F.get(F.filter(ranked, lambda x: x["c"] != first["c"]), F.lit(0))
+        return F.when((F.length(text) > 4) & (first["d"] <= 0.25) & F.coalesce(other["d"] - first["d"] >= 0.1, F.lit(True)), first["c"])
+
     def lookup(self, text: Column) -> Column:
         return F.try_element_at(F.create_map(*(F.lit(x) for kv in self.forms.items() for x in kv)), text)
 

@@ -1,13 +1,11 @@
-"""Nearest entry of a list by weighted cosine over character n-grams."""
+"""Plain writing of typed entries."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ledgerloom.session import bounded, written
-
-#: Letters with accents and what they are without.
+#: Letters with accents and what they are without.
 ACCENTED = "àáâãäåāăąçćčďèéêëēęěìíîïīłñńňòóôõöøōőŕřśšťùúûüūůűýÿźżž"
 PLAIN = "aaaaaaaaacccdeeeeeeeiiiiilnnnooooooooorrsstuuuuuuuyyzzz"
 
@@ -19,45 +17,3 @@ def plain(text: Column) -> Column:
     for digit, letter in (("0", "o"), ("1", "l"), ("5", "s")):
         s = F.regexp_replace(s, rf"(?<=[a-z]){digit}|{digit}(?=[a-z])", letter)
     return F.trim(F.regexp_replace(s, r"[^\p{L}\p{N}]+", " "))
-
-
-def grams(text: Column, n: int = 2) -> Column:
-    """The distinct n-grams of a text between two marks; a null has none."""
-    s = F.concat(F.lit("^"), text, F.lit("$"))
-    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(s) - (n - 1), F.lit(1))), lambda i: F.substring(s, i, F.lit(n))))
-
-
-def nearest(values: DataFrame, forms: DataFrame, threshold: float, margin: float, short: int = 4, edits: float = 0.28) -> DataFrame:
-    """``(value, code, score)`` of every ``values(value)`` that is near enough to one ``forms(form, code)``.
-
-    Both sides are plain text (see :func:`plain`).  Candidates come from an
-    inverted index of the forms' bigrams; a value is accepted if the best code's
-    cosine reaches ``threshold`` and leads the next code by ``margin``, and if
-    the edit distance to the form is at most ``edits`` of the longer text.  Forms
-    of up to ``short`` letters must agree exactly.  A value that is a form is
-    that form.  Ties between codes are not accepted.
-    """
-    known = written(forms.where(F.length("form") > 0).select("form", "code").distinct(), "forms")
-    n = known.select("form").distinct().count()
-    posted = known.select("form", "code", F.explode(grams(F.col("form"))).alias("gram"))
-    df = posted.groupBy("gram").agg(F.countDistinct("form").alias("df"))
-    weighted = posted.join(df, "gram").withColumn("w", F.log(1 + F.lit(float(n)) / F.col("df")))
-    norms = weighted.groupBy("form", "code").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    # written, so that the plan of the values reads it and does not hold how it came about
-    index = written(weighted.select("gram", "form", "code", "w").join(norms, ["form", "code"]).groupBy("gram").agg(F.first("w").alias("w"), F.collect_list(F.struct("form", "code", "norm")).alias("posts")), "form-index")
-    asked = values.where(F.length("value") > 0).select("value").distinct()
-    # A gram that no form has weighs as much as the rarest.
-    exploded = asked.select("value", F.explode(grams(F.col("value"))).alias("gram")).join(bounded(index), "gram", "left").withColumn("w", F.coalesce("w", F.log(1 + F.lit(float(n)))))
-    scored = (
-        exploded.groupBy("value")
-        .agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("vnorm"), F.collect_list(F.struct(F.coalesce("posts", F.array().cast("array<struct<form:string,code:string,norm:double>>")).alias("posts"), "w")).alias("hits"))
-        .select("value", "vnorm", F.explode("hits").alias("h"))
-        .select("value", "vnorm", F.col("h.w").alias("w"), F.explode("h.posts").alias("p"))
-        .groupBy("value", "p.form", "p.code")
-        .agg((F.sum(F.col("w") * F.col("w")) / F.first(F.col("vnorm") * F.col("p.norm"))).alias("score"))
-        .withColumn("score", F.when(F.col("value") == F.col("form"), 1.0).when((F.length("form") <= short) | (F.levenshtein("value", "form") > F.greatest(F.lit(2.0), edits * F.greatest(F.length("value"), F.length("form")))), 0.0).otherwise(F.least(F.col("score"), F.lit(0.9999))))
-    )
-    by_code = scored.groupBy("value", "code").agg(F.max("score").alias("score"))
-    ranked = by_code.groupBy("value").agg(F.sort_array(F.collect_list(F.struct("score", "code")), asc=False).alias("r"))
-    first, second = F.col("r")[0], F.coalesce(F.get("r", F.lit(1))["score"], F.lit(0.0))
-    return ranked.where((first["score"] >= threshold) & ((first["score"] - second >= margin) | ((first["score"] == 1) & (second < 1)))).select("value", first["code"].alias("code"), first["score"].alias("score"))

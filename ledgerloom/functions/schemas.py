@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 LABELS = {str: "string", int: "integer", float: "number", bool: "boolean"}
 SPARK = {str: T.StringType(), int: T.LongType(), float: T.DoubleType(), bool: T.BooleanType(), datetime.date: T.DateType(), datetime.datetime: T.TimestampNTZType(), decimal.Decimal: T.DecimalType(38, 18)}
 # The wording of the prompts.
-HEAD = {"text": "Extract structured data from this ", "image": "Extract structured data from this "}
+HEAD = "Extract structured data from this "
 ASK = "Return a JSON object with the following fields:"
 RULES = "Extract all available information. If a field is not found, use null.\nReturn only the JSON object, no other text."
 
@@ -59,11 +59,11 @@ def field_lines(schema: type[BaseModel]) -> str:
 
 def text_prompt(text: Column, doc_type: Column, schema: type[BaseModel]) -> Column:
     """The prompt of each text; what does not depend on the row is a literal."""
-    return F.concat(F.lit(HEAD["text"]), doc_type, F.lit(f".\n\n{ASK}\n{field_lines(schema)}\n\n{RULES}\n\nDocument text:\n"), text, F.lit("\n\nJSON:"))
+    return F.concat(F.lit(HEAD), doc_type, F.lit(f".\n\n{ASK}\n{field_lines(schema)}\n\n{RULES}\n\nDocument text:\n"), text, F.lit("\n\nJSON:"))
 
 
 def vision_prompt(doc_type: Column, schema: type[BaseModel]) -> Column:
-    return F.concat(F.lit(HEAD["image"]), doc_type, F.lit(f" image.\n\n{ASK}\n{field_lines(schema)}\n\n{RULES}"))
+    return F.concat(F.lit(HEAD), doc_type, F.lit(f" image.\n\n{ASK}\n{field_lines(schema)}\n\n{RULES}"))
 
 
 def spark_type(hint: Any) -> T.DataType:

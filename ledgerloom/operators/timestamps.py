@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from ledgerloom.session import bounded
 
 MARK = "\u0001"
-#: Months by the first letters of their English, German and French names, accents removed.
+#: Months by the first letters of their English, German and French names, accents removed.
 MONTHS = {
     1: ("jan",),
     2: ("feb", "fev"),
@@ -30,7 +30,7 @@ MONTHS = {
     11: ("nov",),
     12: ("dec", "dez"),
 }
-#: Minutes east of UTC of the zone names in use.
+#: Minutes east of UTC of the zone names in use.
 ZONES = {
     "Z": 0, "UTC": 0, "GMT": 0, "WET": 0, "WEST": 60, "BST": 60, "CET": 60, "CEST": 120, "MEZ": 60, "MESZ": 120, "EET": 120, "EEST": 180, "MSK": 180, "GST": 240, "IST": 330, "SGT": 480, "HKT": 480, "AWST": 480, "JST": 540, "KST": 540, "ACST": 570, "AEST": 600, "ACDT": 630, "AEDT": 660, "NZST": 720, "NZDT": 780,
     "NST": -210, "NDT": -150, "AST": -240, "ADT": -180, "EST": -300, "EDT": -240, "CST": -360, "CDT": -300, "MST": -420, "MDT": -360, "PST": -480, "PDT": -420, "AKST": -540, "AKDT": -480, "HST": -600,

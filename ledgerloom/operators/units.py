@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.functions.currency import Currencies, sentence_scale
-from ledgerloom.functions.ngrams import nearest, plain
+from ledgerloom.functions.ngrams import plain
 from ledgerloom.session import bounded, written
 
 #: A pair of sources counts with so many shared parties, and if its median is so near a conversion (in powers of ten).
@@ -30,12 +30,9 @@ LEGAL = ("ltd", "limited", "gmbh", "ag", "llc", "inc", "bv", "b", "v", "sarl", "
 
 def entries_to_codes(entries: DataFrame, currencies: Currencies) -> DataFrame:
     """``(entry, code, shared)`` of distinct ``entries(entry)``; what names no listed currency has null and false."""
-    spark = entries.sparkSession
     read = entries.where(F.col("entry").isNotNull()).distinct().withColumn("_s", currencies.stripped(F.col("entry")))
-    read = read.select("entry", "_s", currencies.exact(F.col("_s")).alias("code"), currencies.is_shared(F.col("_s")).alias("shared"), plain(F.col("_s")).alias("value"))
-    open_ = read.where("code is null and not shared")
-    found = nearest(open_.select("value"), currencies.table(spark), threshold=0.38, margin=0.05).select("value", F.col("code").alias("_near"))
-    return read.join(found, "value", "left").select("entry", F.coalesce("code", F.when(~F.col("shared"), F.col("_near"))).alias("code"), F.col("code").isNull().__and__(F.col("shared")).alias("shared"))
+    read = read.select("entry", currencies.exact(F.col("_s")).alias("code"), currencies.is_shared(F.col("_s")).alias("shared"), currencies.mistyped(plain(F.col("_s"))).alias("_near"))
+    return read.select("entry", F.coalesce("code", F.when(~F.col("shared"), F.col("_near"))).alias("code"), (F.col("code").isNull() & F.col("shared")).alias("shared"))
 
 
 def party_key(name: Column) -> Column:

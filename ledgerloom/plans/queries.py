@@ -16,8 +16,8 @@ from ledgerloom.session import new_path, table, written
 
 AS_OF = datetime.datetime(2024, 12, 31)
 TOTALS = ("total_calls", "cost_units", "total_tokens", "daily_cost_units", "daily_calls", "documents")
-EXTRACT_LIMIT = 30_000
-DOCUMENT_LIMIT, DAY_LIMIT = 4_000_000, 40_000_000  # 1e-8 USD
+EXTRACT_LIMIT = 15_000
+DOCUMENT_LIMIT, DAY_LIMIT = 4_000_000, 2_000_000  # 1e-8 USD
 
 
 def p1_found(spark: SparkSession, root: str) -> DataFrame:

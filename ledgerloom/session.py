@@ -120,14 +120,3 @@ def small_batches(spark: SparkSession, rows: int = 500) -> Iterator[None]:
         yield
     finally:
         spark.conf.set(key, before)
-
-
-def text_batches(spark: SparkSession, rows: int = 500) -> None:
-    """Lowers the session's Arrow batches to ``rows`` for stages on long texts.
-
-    A batch is held as a whole by the executor and by its Python worker, and by
-    default has 10,000 rows of whatever length.
-    """
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(key)) <= rows:
-        spark.conf.set(key, rows)
