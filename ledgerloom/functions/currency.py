@@ -55,14 +55,18 @@ class Currencies:
         rows = spark.createDataFrame([(f, c) for f, c in sorted(self.forms.items())], "raw string, code string")
         return rows.select(plain(F.col("raw")).alias("form"), "code").where("length(form) > 1").distinct()
 
-    def mistyped(self, text: Column) -> Column:
-        """The code whose form is nearest to a plain text, within a quarter of its letters and clearly nearer than any other code's; null for short texts.
+    def ranked(self, text: Column) -> Column:
+        """``(d, c)`` of every form, the nearest first: share of letters that differ from a plain text, and code.
 
         The forms are a parameter table of fixed size, so each text is held
         against all of them where it is.
         """
         forms = F.array(*(F.struct(plain(F.lit(f)).alias("f"), F.lit(c).alias("c")) for f, c in sorted(self.forms.items()) if len(f) > 4))
-        ranked = F.array_sort(F.transform(forms, lambda x: F.struct((F.levenshtein(text, x["f"]) / F.greatest(F.length(text), F.length(x["f"]))).alias("d"), x["c"].alias("c"))))
+        return F.array_sort(F.transform(forms, lambda x: F.struct((F.levenshtein(text, x["f"]) / F.greatest(F.length(text), F.length(x["f"]))).alias("d"), x["c"].alias("c"))))
+
+    @staticmethod
+    def mistyped(text: Column, ranked: Column) -> Column:
+        """The code whose form is nearest to a text, within a quarter of its letters and clearly nearer than any other code's; null for short texts."""
         first = F.get(ranked, F.lit(0))
         other = F.get(F.filter(ranked, lambda x: x["c"] != first["c"]), F.lit(0))
         return F.when((F.length(text) > 4) & (first["d"] <= 0.25) & F.coalesce(other["d"] - first["d"] >= 0.1, F.lit(True)), first["c"])

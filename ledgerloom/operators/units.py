@@ -31,7 +31,9 @@ LEGAL = ("ltd", "limited", "gmbh", "ag", "llc", "inc", "bv", "b", "v", "sarl", "
 def entries_to_codes(entries: DataFrame, currencies: Currencies) -> DataFrame:
     """``(entry, code, shared)`` of distinct ``entries(entry)``; what names no listed currency has null and false."""
     read = entries.where(F.col("entry").isNotNull()).distinct().withColumn("_s", currencies.stripped(F.col("entry")))
-    read = read.select("entry", currencies.exact(F.col("_s")).alias("code"), currencies.is_shared(F.col("_s")).alias("shared"), currencies.mistyped(plain(F.col("_s"))).alias("_near"))
+    read = read.select("entry", currencies.exact(F.col("_s")).alias("code"), currencies.is_shared(F.col("_s")).alias("shared"), plain(F.col("_s")).alias("_p"))
+    # a column of its own, so that it is worked out once a row
+    read = read.withColumn("_ranked", F.when(F.col("code").isNull() & ~F.col("shared"), currencies.ranked(F.col("_p")))).withColumn("_near", currencies.mistyped(F.col("_p"), F.col("_ranked")))
     return read.select("entry", F.coalesce("code", F.when(~F.col("shared"), F.col("_near"))).alias("code"), (F.col("code").isNull() & F.col("shared")).alias("shared"))
 
 
