@@ -134,11 +134,10 @@ def read(spelling: str) -> dict | None:
             else:
                 begin = 0 if elsewhere or back else i - 1
                 name, bare = "".join(bare[begin:i]), bare[:begin] + bare[i + 1 :]
-        elif elsewhere and len(bare) > 2:
-            kind, name, bare = "?" + bare[-1], "".join(bare[:-1]), []
-        else:
-            i = 0 if len(bare[0]) < len(bare[1]) else 1
-            kind, name, bare = "?" + bare[i], bare[1 - i], bare[2:]
+        else:  # a short form stands for the kind: the first of up to three letters, else the shortest word
+            i = next((i for i, w in enumerate(bare) if len(w) <= (3 if i or len(bare) == 2 else 2)), min(range(len(bare)), key=lambda i: len(bare[i])))
+            kind = "?" + bare[i]
+            name, bare = (bare[1], bare[2:]) if i == 0 else ("".join(bare[:i]), bare[i + 1 :])
     elif kind is None and bare:
         name, kind, bare = bare[0], "", []
     for i, w in enumerate(bare):  # German ends written apart
