@@ -37,7 +37,8 @@ from ledgerloom.llm.names import plain
 from ledgerloom.llm.tries import Trie, errors_allowed
 from ledgerloom.session import written
 
-#: The weights are fitted on so many labelled texts at most, those of the smallest hash, in so many rounds.
+#: The weights are fitted on so many labelled texts at most, those of the smallest hash and of so many characters or less, in so many rounds.
+FIT_CHARS = 20_000
 FIT_TEXTS, EPOCHS, RATE, PULL = 5_000, 40, 0.3, 0.0003
 #: Share of the labelled texts whose given names and kinds of street the fit does not see.
 HIDDEN = 0.5
@@ -582,7 +583,7 @@ def labelled(texts: DataFrame, parties: DataFrame, places: Places, most: int = F
     ``parties(row_id, part, value)`` holds what the columns of a text's record say,
     by type of mention.
     """
-    some = texts.where("text is not null and text <> ''").withColumn("_h", F.xxhash64("field", "row_id", "result_no")).orderBy("_h", "row_id").limit(most)
+    some = texts.where(F.length("text").between(1, FIT_CHARS)).withColumn("_h", F.xxhash64("field", "row_id", "result_no")).orderBy("_h", "row_id").limit(most)
     beside = some.join(parties, "row_id", "left").groupBy("field", "row_id", "result_no").agg(F.first("text").alias("text"), F.collect_list(F.struct("part", "value")).alias("parts"))
     out = []
     known = _places(places)

@@ -42,29 +42,41 @@ class Trie:
         node.setdefault("", []).append((text, value))
 
     def within(self, text: str, k: int) -> Iterator[tuple[str, object, int]]:
-        """All ``(text, value, distance)`` within ``k`` errors of ``text``."""
-        n = len(text)
-        stack = [(self.root, list(range(n + 1)), None, "")]
+        """All ``(text, value, distance)`` within ``k`` errors of ``text``.
+
+        Of each row of the automaton only the cells within ``k`` of the diagonal
+        are worked out, as the others are above ``k`` anyway.
+        """
+        n, far = len(text), k + 1
+        stack = [(self.root, [j if j <= k else far for j in range(n + 1)], None, "", 0)]
         while stack:
-            node, row, above, last = stack.pop()
+            node, row, above, last, depth = stack.pop()
             if "" in node and row[n] <= k:
                 for known, value in node[""]:
                     yield known, value, row[n]
+            depth += 1
+            if depth > n + k:
+                continue
+            low, high = max(1, depth - k), min(n, depth + k)
+            still = min(row) <= k - 1  # an exchange may yet follow
             for c, child in node.items():
                 if not c:
                     continue
-                new = [row[0] + 1]
+                new = [far] * (n + 1)
+                if depth <= k:
+                    new[0] = depth
                 least = new[0]
-                for j in range(1, n + 1):
+                for j in range(low, high + 1):
                     t = text[j - 1]
                     d = row[j - 1] if t == c else 1 + min(row[j - 1], row[j], new[j - 1])
                     if above is not None and j > 1 and t == last and text[j - 2] == c and above[j - 2] + 1 < d:
                         d = above[j - 2] + 1
-                    new.append(d)
-                    if d < least:
-                        least = d
-                if least <= k or min(row) <= k - 1:
-                    stack.append((child, new, row, c))
+                    if d < far:
+                        new[j] = d
+                        if d < least:
+                            least = d
+                if least <= k or still:
+                    stack.append((child, new, row, c, depth))
 
 
 def _pieces(length: int, k: int) -> list[tuple[int, int]]:
@@ -116,20 +128,23 @@ def _shards(batches: Iterator[pa.RecordBatch], mutual: bool) -> Iterator[pa.Reco
 
 
 def _search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by shard, those to be indexed first."""
-    shard, tries = None, {}
+    """Rows sorted by shard, those to be indexed first; a shard's trie is made when a text asks for others than itself."""
+    shard, held, tries = None, {}, {}
     for b in batches:
         out: list[tuple] = []
         for key, salt, block, indexed, node, form in zip(*(b.column(i).to_pylist() for i in range(6)), strict=True):
             if (key, salt) != shard:
-                shard, tries = (key, salt), {}
+                shard, held, tries = (key, salt), {}, {}
             if indexed:
-                if block not in tries:
-                    tries[block] = Trie()
-                tries[block].add(form, node)
-            elif block in tries:
+                held.setdefault(block, []).append((form, node))
+            elif (texts := held.get(block)) and (len(texts) > 1 or texts[0][1] != node):
+                trie = tries.get(block)
+                if trie is None:
+                    trie = tries[block] = Trie()
+                    for text, value in texts:
+                        trie.add(text, value)
                 k = errors_allowed(len(form))
-                out.extend((node, other, d) for known, other, d in tries[block].within(form, k) if other != node and d <= errors_allowed(len(known)))
+                out.extend((node, other, d) for known, other, d in trie.within(form, k) if other != node and d <= errors_allowed(len(known)))
         columns = list(zip(*out, strict=True)) or [()] * 3
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int32()), strict=True)], names=["node", "near", "distance"])
 
