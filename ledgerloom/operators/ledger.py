@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.session import bounded, written
@@ -155,8 +155,6 @@ def admit(calls: DataFrame, key: Column, limit_units: int, span: str = "HOUR") -
     told = written(rows.withColumn("admitted", plain).withColumn("range", F.date_trunc(span, "timestamp")), "admission")
     out = told.where("admitted is not null").select("call_id", "admitted")
     open_ = told.where("admitted is null").select("key", "range", "timestamp", "call_id", "cost_units", F.lit(0).cast("long").alias("spent"))
-    from pyspark.sql import Window
-
     for _ in range(ROUNDS):
         sums = open_.groupBy("key", "range").agg(F.sum("cost_units").alias("cost"), F.first("spent").alias("spent"))
         ordered = Window.partitionBy("key").orderBy("range")

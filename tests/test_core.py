@@ -9,7 +9,7 @@ from decimal import Decimal
 import pytest
 from pyspark.sql import functions as F
 
-from ledgerloom import cli
+from ledgerloom import cli, session
 from ledgerloom.functions import results, schemas
 from ledgerloom.functions import text as tx
 from ledgerloom.operators import extract, ledger, nested, timestamps, units
@@ -61,6 +61,33 @@ def test_prompt_and_schema(spark):
         schemas.schema_by_name("Nope")
 
 
+def test_session(spark, tmp_path, monkeypatch):
+    df = spark.createDataFrame([(1, None), (2, "x")], "a long, b string")
+    kept = session.written(df, "test")
+    assert sorted(kept.collect()) == sorted(df.collect()) and session.clean(spark) > 0 and session.clean(spark) == 0
+    df.write.parquet(str(tmp_path / "t"))
+    small = spark.read.parquet(str(tmp_path / "t"))
+    assert "broadcast" in session.bounded(small)._jdf.queryExecution().logical().toString().lower()
+    many = spark.range(10**6).withColumn("x", F.lit("y" * 50))
+    assert "broadcast" not in session.bounded(many)._jdf.queryExecution().logical().toString().lower()
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    with session.small_batches(spark, 7):
+        assert spark.conf.get(key) == "7"
+    assert spark.conf.get(key) == before
+
+    class Cluster:
+        class conf:
+            get = staticmethod(lambda key, default: default)
+
+        class sparkContext:
+            master = "spark://host:7077"
+            getConf = staticmethod(lambda: Cluster.conf)
+
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        session.shared_dir(Cluster)
+
+
 def test_sources(spark, tmp_path):
     (tmp_path / "invoice_1.txt").write_text("Hello, world!")
     (tmp_path / "bad.txt").write_bytes(b"\xff\xfe\xfa")
