@@ -181,14 +181,14 @@ def vocabulary(words: DataFrame) -> DataFrame:
     for the number of tests.
     """
     every = runs(words.select("field", "legal", "words").distinct())
-    slots = written(every.where(F.size("rest") > 0).select(F.xxhash64("field", "legal", F.array_sort("rest")).alias("key"), "run", (F.col("legal") != "").alias("lawful"), F.transform("rest", lambda w: F.xxhash64(w)).alias("others")), "name-slots")
-    beside = slots.select("run", F.explode("others").alias("w")).groupBy("run", "w").agg(F.count("*").alias("c"))
-    partners = beside.groupBy("run").agg((F.pow(F.sum("c"), F.lit(2.0)) / F.sum(F.col("c") * F.col("c"))).alias("partners"))
-    used = slots.groupBy("run").agg(F.count("*").alias("uses"), F.avg(F.col("lawful").cast("double")).alias("lawful"))
-    stats = written(partners.join(used, "run").where("uses >= 3 or partners >= 3"), "name-runs")
+    slots = written(every.where(F.size("rest") > 0).select(F.xxhash64("field", "legal", F.array_sort("rest")).alias("key"), "run", F.xxhash64("run").alias("hash"), (F.col("legal") != "").alias("lawful"), F.transform("rest", lambda w: F.xxhash64(w)).alias("others")), "name-slots")
+    beside = slots.select("hash", F.explode("others").alias("w")).groupBy("hash", "w").agg(F.count("*").alias("c"))
+    partners = beside.groupBy("hash").agg((F.pow(F.sum("c"), F.lit(2.0)) / F.sum(F.col("c") * F.col("c"))).alias("partners"))
+    used = slots.groupBy("run", "hash").agg(F.count("*").alias("uses"), F.avg(F.col("lawful").cast("double")).alias("lawful"))
+    stats = written(partners.join(used, "hash").drop("hash").where("uses >= 3 or partners >= 3"), "name-runs")
     most = stats.agg(F.max("partners")).first()[0] or 0.0
     full = written(stats.where(F.col("partners") >= max(LEAST_PARTNERS, PARTNER_SHARE * most)).select("run", "uses", F.when(F.col("lawful") >= LAWFUL_SHARE, "trade").otherwise("given").alias("role")), "name-full")
-    places = slots.select("key", "run").distinct()
+    places = written(slots.select("key", "run").distinct(), "name-places")
     held = places.groupBy("run").agg(F.count("*").alias("n"))
     total = places.select("key").distinct().count()
     known = held.join(bounded(full), "run").select(F.col("run").alias("value"), F.col("n").alias("m"), F.col("uses").alias("v_uses"), "role")

@@ -39,7 +39,7 @@ from ledgerloom.session import written
 
 #: The weights are fitted on so many labelled texts at most, those of the smallest hash and of so many characters or less, in so many rounds.
 FIT_CHARS = 20_000
-FIT_TEXTS, EPOCHS, RATE, PULL = 5_000, 40, 0.3, 0.0003
+FIT_TEXTS, EPOCHS, RATE, PULL = 5_000, 30, 0.3, 0.0003
 #: Share of the labelled texts whose given names and kinds of street the fit does not see.
 HIDDEN = 0.5
 #: A word is common if it is one in so many of all words, so that there are at most so many, and is mostly written small.
@@ -566,10 +566,7 @@ def common_words(texts: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            seen: Counter = Counter()
-            for t in b.column(0).to_pylist():
-                if t:
-                    seen.update(_WORDS.findall(t))
+            seen = Counter(_WORDS.findall("\n".join(t for t in b.column(0).to_pylist() if t)))
             yield pa.RecordBatch.from_arrays([pa.array([w.lower() for w in seen], pa.string()), pa.array([n if w.islower() else 0 for w, n in seen.items()], pa.int64()), pa.array(list(seen.values()), pa.int64())], names=["text", "small", "n"])
 
     counts = written(texts.select("text").mapInArrow(run, "text string, small long, n long").groupBy("text").agg(F.sum("small").alias("small"), F.sum("n").alias("n")), "word-counts")
