@@ -21,7 +21,7 @@ from ledgerloom.session import small_batches, written
 
 #: Signs: inside a word, end of a word, of a line, of a paragraph, of a cell.
 INSIDE, WORD, LINE, PARAGRAPH, CELL = "i", "w", "l", "p", "c"
-#: A word of more tokens is cut into parts of so many characters; less where a limit is smaller, as a character has up to four tokens.
+#: A word of more tokens is cut into parts of so many characters; into fewer where a part exceeds the least limit, as a character has up to four tokens.
 LONG_TOKENS, PART_CHARS, CHAR_TOKENS = 32, 16, 4
 #: Texts are read in runs of so many bytes.
 SPLIT_BYTES = 1 << 20
@@ -34,7 +34,7 @@ def _units(block: Block, coder, least: int) -> tuple[np.ndarray, np.ndarray]:
     and what has many tokens into parts of a few characters, none of more than
     ``least`` tokens.
     """
-    long_tokens, part_chars = min(LONG_TOKENS, least), max(1, min(PART_CHARS, least // CHAR_TOKENS))
+    long_tokens, few_chars = min(LONG_TOKENS, least), max(1, least // CHAR_TOKENS)
     points, starts = block.points, block.starts
     size = np.fromiter((len(coder.encode_single_piece(w)) for w in block.words), np.int64, len(block.words))
     weight = size[block.slots]
@@ -56,7 +56,7 @@ def _units(block: Block, coder, least: int) -> tuple[np.ndarray, np.ndarray]:
         a, e = int(starts[i]), int(ends[i])
         word = text[a:e]
         if weight[i] > long_tokens:
-            cuts = list(range(0, e - a, part_chars))
+            cuts = list(range(0, e - a, PART_CHARS))
             last_line = word.rfind("\n") + 1
             if last_line and last_line < e - a:
                 cuts = sorted({*cuts, last_line})
@@ -64,6 +64,10 @@ def _units(block: Block, coder, least: int) -> tuple[np.ndarray, np.ndarray]:
             cuts = [0, word.rfind("\n") + 1]
         parts = [word[x:y] for x, y in zip(cuts, [*cuts[1:], e - a], strict=True)]
         counts = [tokens(p) for p in parts]
+        if max(counts) > least:  # only then into parts that cannot have more
+            cuts = [c + x for c, p, n in zip(cuts, parts, counts, strict=True) for x in (range(0, len(p), few_chars) if n > least else (0,))]
+            parts = [word[x:y] for x, y in zip(cuts, [*cuts[1:], e - a], strict=True)]
+            counts = [tokens(p) for p in parts]
         if len(parts) == 2:  # never less than the whole has
             counts[1] = max(counts[1], int(weight[i]) - counts[0])
         extra[int(i)] = [(a + c, n) for c, n in zip(cuts, counts, strict=True)]
