@@ -38,12 +38,18 @@ _INSIDE = re.compile(r"\b(?:unit|suite|ste|apt|apartment|room|rm|floor|fl|etage|
 _NUMBER = re.compile(r"(?:\b(?:no|nr|num|n)\b\s*[.°º]?\s*|[#°º]\s*|n°\s*)?\b(\d{1,4})\s*(?:-\s*)?(?:([a-h])\b(?![.']))?(?![\d])")
 
 
+_MISREAD = [(d, x, re.compile(rf"(?<=[a-z]){d}(?=[a-z])|(?<=[a-z]{{2}}){d}(?!\d)|(?<![\da-z]){d}(?=[a-z]{{2}})")) for d, x in (("0", "o"), ("1", "l"), ("5", "s"))]
+
+
 def _plain(text: str) -> str:
     """As for names, but digits stay digits where they may be a house number."""
-    s = unicodedata.normalize("NFKD", text.casefold().replace("ø", "o").replace("ł", "l").replace("ß", "ss"))
-    s = "".join(c for c in s if not unicodedata.combining(c))
-    for digit, letter in (("0", "o"), ("1", "l"), ("5", "s")):
-        s = re.sub(rf"(?<=[a-z]){digit}(?=[a-z])|(?<=[a-z]{{2}}){digit}(?!\d)|(?<![\da-z]){digit}(?=[a-z]{{2}})", letter, s)
+    s = text.casefold()
+    if not s.isascii():
+        s = unicodedata.normalize("NFKD", s.replace("ø", "o").replace("ł", "l").replace("ß", "ss"))
+        s = "".join(c for c in s if not unicodedata.combining(c))
+    for digit, letter, pattern in _MISREAD:
+        if digit in s:
+            s = pattern.sub(letter, s)
     return s.replace("rn", "m")
 
 

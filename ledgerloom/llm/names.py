@@ -46,12 +46,18 @@ TITLES = {"mr", "mrs", "ms", "mx", "miss", "dr", "prof", "hon", "herr", "frau",
 JOINING = {"&", "+", "and", "und", "et"}
 
 
+_MISREAD = [(d, x, re.compile(rf"(?<=[a-z]){d}(?![\d])|(?<!\d){d}(?=[a-z])")) for d, x in (("0", "o"), ("1", "l"), ("5", "s"))]
+
+
 def plain(text: str) -> str:
     """Lower case without accents, letters read as digits put right."""
-    s = unicodedata.normalize("NFKD", text.casefold().replace("ø", "o").replace("ł", "l").replace("đ", "d"))
-    s = "".join(c for c in s if not unicodedata.combining(c))
-    for digit, letter in (("0", "o"), ("1", "l"), ("5", "s")):
-        s = re.sub(rf"(?<=[a-z]){digit}(?![\d])|(?<!\d){digit}(?=[a-z])", letter, s)
+    s = text.casefold()
+    if not s.isascii():
+        s = unicodedata.normalize("NFKD", s.replace("ø", "o").replace("ł", "l").replace("đ", "d"))
+        s = "".join(c for c in s if not unicodedata.combining(c))
+    for digit, letter, pattern in _MISREAD:
+        if digit in s:
+            s = pattern.sub(letter, s)
     return s.replace("rn", "m")
 
 
