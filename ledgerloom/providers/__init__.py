@@ -1,5 +1,5 @@
 """Model providers."""
 
-from ledgerloom.providers.base import CATALOG, DEFAULT_MODEL, PROVIDERS, AnthropicProvider, Completion, OllamaProvider, OpenAIProvider, Provider, StubProvider, make, resolve
+from ledgerloom.providers.base import CATALOG, DEFAULT_MODEL, PROVIDERS, AnthropicProvider, Completion, ModelNotSupported, OllamaProvider, OpenAIProvider, Provider, StubProvider, make, resolve
 
-__all__ = ["CATALOG", "DEFAULT_MODEL", "PROVIDERS", "AnthropicProvider", "Completion", "OllamaProvider", "OpenAIProvider", "Provider", "StubProvider", "make", "resolve"]
+__all__ = ["CATALOG", "DEFAULT_MODEL", "PROVIDERS", "AnthropicProvider", "Completion", "ModelNotSupported", "OllamaProvider", "OpenAIProvider", "Provider", "StubProvider", "make", "resolve"]

@@ -18,6 +18,10 @@ CATALOG = {
 }
 
 
+class ModelNotSupported(ValueError):
+    """A model that no catalog and no local form of name knows."""
+
+
 @dataclass
 class Completion:
     success: bool
@@ -151,7 +155,7 @@ def resolve(model: str, catalog: dict[str, tuple[str, str, bool]]) -> tuple[str,
         return catalog[model]
     if ":" in model or model.startswith(("llama", "mistral")):
         return "ollama", model if ":" in model else f"{model}:latest", True
-    raise ValueError(f"Unknown model: {model}. Available: {sorted(catalog)}")
+    raise ModelNotSupported(f"Unknown model: {model}. Available: {sorted(catalog)}")
 
 
 def make(model: str, catalog: dict[str, tuple[str, str, bool]], api_key: str | None = None, base_url: str | None = None) -> Provider:
