@@ -190,13 +190,13 @@ def mine_towns(rows: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     while True:
         named = seen.join(current, "text").join(total.withColumnsRenamed({"text": "town", "support": "of_town"}), "town")
         by_code = named.groupBy("postcode", "town").agg(F.sum("n").alias("n"), F.max("of_town").alias("of_town"))
-        mode_code = by_code.groupBy("postcode").agg(F.max_by("town", F.struct("n", "of_town", "town")).alias("leader"), F.sum("n").alias("addresses"))
+        mode_code = written(by_code.groupBy("postcode").agg(F.max_by("town", F.struct("n", "of_town", "town")).alias("leader"), F.sum("n").alias("addresses")), "town-leaders")
         there = mode_code.groupBy("leader").agg(F.sum("addresses").alias("there"))
         shift = seen.join(mode_code, "postcode").groupBy("text", "leader").agg(F.sum("n").alias("n"))
         best = shift.groupBy("text").agg(F.max_by("leader", F.struct("n", "leader")).alias("leader"), F.max("n").alias("n")).join(total, "text").where(F.col("n") >= LEAST_SHARE * F.col("support"))
         bigger = best.join(total.withColumnsRenamed({"text": "leader", "support": "of_leader"}), "leader").where("of_leader > support").join(there, "leader")
         ratio = F.expr(likelihood_ratio("n", "support", "there", f"{every}L"))
-        told = bigger.withColumn("sure", (F.col("n") >= LEAST_STREETS) & (ratio >= least))
+        told = written(bigger.select("text", "leader", ((F.col("n") >= LEAST_STREETS) & (ratio >= least)).alias("sure")), "town-shifts")
         alike = told.where("not sure").select("text", F.col("leader").alias("_front")).mapInArrow(_misspelt, "text string, _front string").withColumnRenamed("_front", "leader")
         kept = told.where("sure").select("text", "leader").unionByName(alike)
         renewed = written(total.select("text").join(kept, "text", "left").select("text", F.coalesce("leader", "text").alias("town")), "towns")
@@ -244,8 +244,8 @@ def mine_kinds(rows: DataFrame) -> DataFrame:
     What is learnt of a word anywhere holds in every town that knows the better
     word, so that one short form can mean a street here and a Strasse there.
     """
-    spots = rows.where("town is not null and kind <> ''").select("town", "number", "name", "kind").distinct()
-    sets = spots.groupBy("town", "number", "name").agg(F.collect_set("kind").alias("kinds")).where(F.size("kinds") > 1)
+    spots = written(rows.where("town is not null and kind <> ''").select("town", "number", "name", "kind").distinct(), "address-spots")
+    sets = written(spots.groupBy("town", "number", "name").agg(F.collect_set("kind").alias("kinds")).where(F.size("kinds") > 1), "address-kinds")
     pair = sets.select("name", F.explode("kinds").alias("kind"), "kinds").select("name", "kind", F.explode("kinds").alias("better")).where("kind like '?%' and better not like '?%'")
     count = written(pair.groupBy("kind", "better").agg(F.countDistinct("name").alias("streets")), "kind-pairs")
     total = sets.select("name", F.explode("kinds").alias("kind")).groupBy("kind").agg(F.countDistinct("name").alias("all"))
@@ -275,7 +275,7 @@ def rewritten(rows: DataFrame) -> DataFrame:
 
 def locations(rows: DataFrame) -> DataFrame:
     """``(field, id, entity)`` of read addresses with a town."""
-    placed = written(rewritten(place(rows)).where("town is not null"), "addresses")
+    placed = rewritten(written(place(rows).where("town is not null"), "addresses"))
     block = F.concat_ws("|", "field", "town", "number", "kind")
     keyed = placed.withColumn("block", block).withColumn("node", F.xxhash64("block", "name"))
     nodes = written(keyed.groupBy("block", "node").agg(F.first("name").alias("name"), F.sum("n").alias("n"), F.first("field").alias("field"), F.first("town").alias("town"), F.first("number").alias("number"), F.first("kind").alias("kind")), "address-nodes")
