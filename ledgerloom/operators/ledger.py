@@ -65,25 +65,25 @@ def document_cost(calls: DataFrame, documents: DataFrame) -> DataFrame:
     return documents.select("document_id").join(by_document(calls), "document_id", "left").select("document_id", F.coalesce("cost_units", F.lit(0).cast("long")).alias("cost_units"))
 
 
-def _map(df: DataFrame, key: str, *values: str) -> list[Column]:
-    """Aggregates that make a map of ``key`` to each of ``values``, in order of the key; a null key is ``?``."""
-    entry = lambda v: F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.coalesce(key, F.lit("?")).alias("k"), F.col(v).alias("v")))))
-    return [entry(v).alias(f"{v}_by_{key}") for v in values]
+def _map(key: str, value: str, kept: Column) -> Column:
+    """An aggregate: the map of ``key`` to ``value`` of the ``kept`` rows, in order of the key; a null key is ``?``."""
+    entry = F.when(kept, F.struct(F.coalesce(key, F.lit("?")).alias("k"), F.col(value).alias("v")))
+    return F.map_from_entries(F.array_sort(F.collect_list(entry))).alias(f"{value}_by_{key}")
 
 
 def totals(calls: DataFrame, as_of: Column) -> DataFrame:
     """One row: all calls, those of the day of ``as_of``, documents, average cost of a document, calls and cost by model.
 
-    Calls are added up by document, model and day first, so that the count of
-    distinct documents needs no second pass; the maps have a row a model.
+    One pass: calls are added up by document, model and day, these by document
+    and by model as grouping sets; the maps have an entry a model.
     """
     today = (F.to_date("timestamp") == F.to_date(as_of)).alias("today")
     part = calls.groupBy(F.nullif("document_id", F.lit("")).alias("document_id"), "model", today).agg(F.count("*").alias("calls"), F.sum("cost_units").alias("cost_units"), F.sum("total_tokens").alias("tokens"))
-    model = part.groupBy("model").agg(*(F.sum(c).alias(c) for c in ("calls", "cost_units", "tokens")), *(F.coalesce(F.sum(F.when(F.col("today"), F.col(c))), F.lit(0)).alias(f"daily_{c}") for c in ("calls", "cost_units")))
-    documents = part.agg(F.count_distinct("document_id").alias("documents"))
-    zero = F.lit(0).cast("long")
-    sums = model.agg(*(F.coalesce(F.sum(c), zero).alias(c) for c in ("calls", "cost_units", "tokens", "daily_calls", "daily_cost_units")), *_map(model, "model", "calls", "cost_units"))
-    one = sums.join(F.broadcast(documents), how="cross")
+    daily = [F.sum(F.when(F.col("today"), F.col(c))).alias(f"daily_{c}") for c in ("calls", "cost_units")]
+    sets = part.groupingSets([["document_id"], ["model"]], "document_id", "model").agg(F.grouping("document_id").alias("g"), *(F.sum(c).alias(c) for c in ("calls", "cost_units", "tokens")), *daily)
+    model, zero = F.col("g") == 1, F.lit(0).cast("long")
+    sums = [F.coalesce(F.sum(F.when(model, F.col(c))), zero).alias(c) for c in ("calls", "cost_units", "tokens", "daily_calls", "daily_cost_units")]
+    one = sets.agg(*sums, F.count(F.when(~model, F.col("document_id"))).alias("documents"), _map("model", "calls", model), _map("model", "cost_units", model))
     average = F.when(F.col("documents") > 0, F.col("cost_units") / F.col("documents")).otherwise(0.0)
     return one.select(F.col("calls").alias("total_calls"), "cost_units", F.col("tokens").alias("total_tokens"), "daily_cost_units", "daily_calls", "documents", average.alias("average_units"), "calls_by_model", "cost_units_by_model")
 
@@ -91,16 +91,16 @@ def totals(calls: DataFrame, as_of: Column) -> DataFrame:
 def report(calls: DataFrame, as_of: Column, days: int = 7) -> DataFrame:
     """One row over the last days: documents, those without a failed call, calls, cost, average and cost by strategy.
 
-    One pass: calls are added up by document and strategy, these by strategy.
+    One pass: calls are added up by document and strategy, these by document and
+    by strategy as grouping sets.
     """
     recent = calls.where(F.col("timestamp") >= as_of - F.expr(f"INTERVAL {int(days)} DAYS"))
     free = F.col("strategy").endswith("ollama") & F.col("success")
-    part = recent.groupBy(F.nullif("document_id", F.lit("")).alias("document_id"), "strategy").agg(F.count("*").alias("calls"), F.sum("cost_units").alias("cost_units"), F.count(F.when(free, 1)).alias("free"), F.coalesce(F.bool_and(F.coalesce("success", F.lit(False))), F.lit(True)).alias("ok"))
-    documents = part.groupBy("document_id").agg(F.bool_and("ok").alias("ok"), *(F.sum(c).alias(c) for c in ("calls", "cost_units", "free")), F.collect_list(F.struct("strategy", "cost_units")).alias("parts"))
-    strategies = part.groupBy("strategy").agg(F.sum("cost_units").alias("cost_units"))
-    zero = F.lit(0).cast("long")
-    sums = documents.agg(F.count("document_id").alias("total_documents"), F.count(F.when(F.col("ok") & F.col("document_id").isNotNull(), 1)).alias("successful_documents"), *(F.coalesce(F.sum(c), zero).alias(c) for c in ("calls", "cost_units", "free")))
-    one = sums.join(F.broadcast(strategies.agg(*_map(strategies, "strategy", "cost_units"))), how="cross")
+    part = recent.groupBy(F.nullif("document_id", F.lit("")).alias("document_id"), "strategy").agg(F.count("*").alias("calls"), F.sum("cost_units").alias("cost_units"), F.count(F.when(free, 1)).alias("free"), F.bool_and(F.coalesce("success", F.lit(False))).alias("ok"))
+    sets = part.groupingSets([["document_id"], ["strategy"]], "document_id", "strategy").agg(F.grouping("document_id").alias("g"), F.bool_and("ok").alias("ok"), *(F.sum(c).alias(c) for c in ("calls", "cost_units", "free")))
+    strategy, zero = F.col("g") == 1, F.lit(0).cast("long")
+    named = ~strategy & F.col("document_id").isNotNull()
+    one = sets.agg(F.count(F.when(named, 1)).alias("total_documents"), F.count(F.when(named & F.col("ok"), 1)).alias("successful_documents"), *(F.coalesce(F.sum(F.when(strategy, F.col(c))), zero).alias(c) for c in ("calls", "cost_units", "free")), _map("strategy", "cost_units", strategy))
     average = F.when(F.col("total_documents") > 0, F.col("cost_units") / F.col("total_documents")).otherwise(0.0)
     return one.select("total_documents", "successful_documents", (F.col("total_documents") - F.col("successful_documents")).alias("failed_documents"), "calls", "cost_units", F.col("free").alias("free_successes"), average.alias("average_units"), "cost_units_by_strategy")
 
@@ -142,8 +142,8 @@ def admit(calls: DataFrame, key: Column, limit_units: int, span: str = "HOUR") -
 
     A rejected call spends nothing, so this is a fold and no running sum; calls
     are taken by time and id.  What needs no order is settled before: calls
-    without a key and free ones are admitted, those dearer than the limit are not.
-    The rest goes by ranges of time (``span``), whose sums are added up in
+    without a key and free ones are admitted, those dearer than the limit are not,
+    and all others of a key whose whole cost fits are.  The rest goes by ranges of time (``span``), whose sums are added up in
     parallel.  Ranges before the first that goes over a key's limit are admitted
     as they are; that one is folded call by call; of the later calls those dearer
     than what is then left are rejected, and the others begin anew.  A hot key so
@@ -153,8 +153,12 @@ def admit(calls: DataFrame, key: Column, limit_units: int, span: str = "HOUR") -
     keyless = F.col("key").isNull() | (F.col("key") == "")
     plain = F.when(keyless | (F.col("cost_units") == 0), True).when(F.col("cost_units") > limit_units, False)
     told = written(rows.withColumn("admitted", plain).withColumn("range", F.date_trunc(span, "timestamp")), "admission")
-    out = told.where("admitted is not null").select("call_id", "admitted")
-    open_ = told.where("admitted is null").select("key", "range", "timestamp", "call_id", "cost_units", F.lit(0).cast("long").alias("spent"))
+    tight = written(told.where("admitted is null").groupBy("key").agg(F.sum("cost_units").alias("c")).where(F.col("c") > limit_units).select("key", F.lit(True).alias("tight")), "admission-tight")
+    marked = told.join(bounded(tight), "key", "left")
+    out = marked.where("admitted is not null or tight is null").select("call_id", F.coalesce("admitted", F.lit(True)).alias("admitted"))
+    if not tight.limit(1).count():
+        return out
+    open_ = marked.where("admitted is null and tight").select("key", "range", "timestamp", "call_id", "cost_units", F.lit(0).cast("long").alias("spent"))
     for _ in range(ROUNDS):
         sums = open_.groupBy("key", "range").agg(F.sum("cost_units").alias("cost"), F.first("spent").alias("spent"))
         ordered = Window.partitionBy("key").orderBy("range")
