@@ -22,8 +22,8 @@ from pyspark.sql import functions as F
 
 from ledgerloom.session import bounded, written
 
-#: Asking rows of a shard that holds more rows than this are spread over several tasks.
-HOT_ROWS, SALTS = 20_000, 16
+#: Asking rows of a shard that holds more rows than this are spread over several tasks; rows are counted at one in so many texts.
+HOT_ROWS, SALTS, COUNTED = 20_000, 16, 16
 
 
 def errors_allowed(length: int) -> int:
@@ -159,12 +159,14 @@ def near(nodes: DataFrame, mutual: bool = False) -> DataFrame:
     in every form; then only the longer of two asks.
 
     A shard is known by a hash of its key; its block is kept beside it, so that a
-    clash of hashes links nothing.  Shards of more than ``HOT_ROWS`` rows have
-    their asking rows spread over ``SALTS`` tasks, each with the shard's trie.
+    clash of hashes links nothing.  Shards of more than about ``HOT_ROWS`` rows
+    have their asking rows spread over ``SALTS`` tasks, each with the shard's trie;
+    which ones are spread changes nothing in the result.
     """
     keyed = nodes.select(F.xxhash64("block").alias("block"), F.col("node").cast("long"), "forms", "indexed", "asking").mapInArrow(lambda it: _shards(it, mutual), "block long, key string, indexed boolean, node long, form string")
     shards = written(keyed.select(F.xxhash64("block", "key").alias("shard"), "block", "indexed", "node", "form"), "shards")
-    hot = bounded(shards.groupBy("shard").agg(F.count("*").alias("rows"), F.max("indexed").alias("any")).where(F.col("any") & (F.col("rows") > HOT_ROWS)).select("shard", F.lit(True).alias("hot")))
+    counted = shards.where(F.pmod(F.xxhash64("node", F.lit("counted")), F.lit(COUNTED)) == 0)
+    hot = bounded(counted.groupBy("shard").agg(F.count("*").alias("rows")).where(F.col("rows") * COUNTED > HOT_ROWS).select("shard", F.lit(True).alias("hot")))
     salt = F.pmod(F.xxhash64("node", F.lit("salt")), F.lit(SALTS)).cast("int")
     salts = F.when(F.col("hot") & F.col("indexed"), F.sequence(F.lit(0), F.lit(SALTS - 1))).when(F.col("hot"), F.array(salt)).otherwise(F.array(F.lit(0)))
     dealt = shards.join(hot, "shard", "left").select("shard", F.explode(salts).alias("salt"), "block", "indexed", "node", "form")
