@@ -197,7 +197,7 @@ def vocabulary(words: DataFrame) -> DataFrame:
     places = written(slots.select("key", "run").distinct(), "name-places")
     held = places.groupBy("run").agg(F.count("*").alias("n"))
     total = places.select("key").distinct().count()
-    known = held.join(bounded(full), "run").select(F.col("run").alias("value"), F.col("n").alias("m"), F.col("uses").alias("v_uses"), "role")
+    known = written(held.join(bounded(full), "run").select(F.col("run").alias("value"), F.col("n").alias("m"), F.col("uses").alias("v_uses"), "role"), "name-known")
     there = places.join(bounded(full.select("run")), "run").select("key", F.col("run").alias("value"))
     frequent = stats.where(F.col("uses") >= LEAST_SURROUNDINGS).select("run", "uses")
     both = places.join(there, "key").where("run <> value").groupBy("run", "value").agg(F.count("*").alias("c"))

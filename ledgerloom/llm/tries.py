@@ -166,7 +166,7 @@ def near(nodes: DataFrame, mutual: bool = False) -> DataFrame:
     keyed = nodes.select(F.xxhash64("block").alias("block"), F.col("node").cast("long"), "forms", "indexed", "asking").mapInArrow(lambda it: _shards(it, mutual), "block long, key string, indexed boolean, node long, form string")
     shards = written(keyed.select(F.xxhash64("block", "key").alias("shard"), "block", "indexed", "node", "form"), "shards")
     counted = shards.where(F.pmod(F.xxhash64("node", F.lit("counted")), F.lit(COUNTED)) == 0)
-    hot = bounded(counted.groupBy("shard").agg(F.count("*").alias("rows")).where(F.col("rows") * COUNTED > HOT_ROWS).select("shard", F.lit(True).alias("hot")))
+    hot = bounded(written(counted.groupBy("shard").agg(F.count("*").alias("rows")).where(F.col("rows") * COUNTED > HOT_ROWS).select("shard", F.lit(True).alias("hot")), "hot-shards"))
     salt = F.pmod(F.xxhash64("node", F.lit("salt")), F.lit(SALTS)).cast("int")
     salts = F.when(F.col("hot") & F.col("indexed"), F.sequence(F.lit(0), F.lit(SALTS - 1))).when(F.col("hot"), F.array(salt)).otherwise(F.array(F.lit(0)))
     dealt = shards.join(hot, "shard", "left").select("shard", F.explode(salts).alias("salt"), "block", "indexed", "node", "form")
