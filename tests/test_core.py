@@ -271,6 +271,22 @@ def test_results(spark):
         rows.select(results.checked_confidence(F.lit(1.5))).collect()
 
 
+def test_sinks_and_exports(spark, tmp_path):
+    record = '{"invoice_number": "7é", "line_items": [{"name": "a", "amount": 1.5}]}'
+    docs = documents.routed(documents.from_texts(spark.createDataFrame([("x", "d1"), (None, "d2")], "text string, id string"), document_id="id"))
+    out = session.written(extract.extract(docs, schemas.InvoiceData, lambda: StubProvider(lambda p: record), "m", "openai"), "sinks")
+    lines = {r["document_id"]: json.loads(r["json"]) for r in sinks.result_json(out).collect()}
+    assert set(lines) == {"d1", "d2"} and lines["d1"]["invoice_number"] == "7é" and lines["d1"]["currency"] is None and lines["d1"]["line_items"][0]["amount"] == 1.5
+    assert "\n" in sinks.result_json(out, pretty=True).first()["json"]
+    sinks.write_results(out, str(tmp_path / "results"))
+    assert spark.read.json(str(tmp_path / "results")).where("data.invoice_number = '7é'").count() == 2
+    assert schemas.json_schema(schemas.ReceiptData)["properties"]["total"]["description"] == "Total amount paid"
+    image = spark.createDataFrame([(bytes(range(200)),)], "content binary")
+    import base64
+
+    assert image.select(tx.data_url(F.col("content"), F.lit("image/png"))).first()[0] == "data:image/png;base64," + base64.b64encode(bytes(range(200))).decode()
+
+
 def test_stream(spark, tmp_path):
     from ledgerloom.streaming.ledger import daily_cost
 
