@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 
 #: What has been written for a lineage cut and not been cleaned, by session.
 _WRITTEN: dict[str, list[str]] = {}
-#: A table of so few bytes, by Spark's own estimate, is broadcast without being counted.
-SMALL_BYTES = 1 << 20
+#: Of so many Parquet files at most the footers are read to know how many rows a table has.
+MOST_FOOTERS = 64
 
 
 def local_session(cores: int | str = "*", app: str = "ledgerloom", memory: str = "8g") -> SparkSession:
@@ -86,23 +86,34 @@ def clean(spark: SparkSession) -> int:
     return len(paths)
 
 
-def _estimate(df: DataFrame) -> int | None:
-    """Spark's estimate of the bytes of a plan that only reads and narrows files; null where it cannot say."""
+def _rows_on_file(df: DataFrame) -> int | None:
+    """Rows of the Parquet files behind a plan that only narrows them, from their footers; null for any other plan."""
     try:
-        return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
-    except Exception:  # noqa: BLE001 - a session without a JVM at hand
+        plan = df._jdf.queryExecution().optimizedPlan()
+        while plan.nodeName() in ("Project", "Filter"):
+            plan = plan.children().head()
+        files = df.inputFiles() if plan.nodeName() == "LogicalRelation" else []
+        if not 0 < len(files) <= MOST_FOOTERS:
+            return None
+        import pyarrow.parquet as pq
+        from pyarrow import fs
+
+        opened = [fs.FileSystem.from_uri(f) for f in files]
+        return sum(pq.read_metadata(path, filesystem=system).num_rows for system, path in opened)
+    except Exception:  # noqa: BLE001 - no JVM at hand, no Parquet, a file system that is not known here
         return None
 
 
 def bounded(df: DataFrame, rows: int = 10_000) -> DataFrame:
-    """``df`` with a broadcast hint if it is proven to hold at most ``rows`` rows, or its files are small.
+    """``df`` with a broadcast hint if it is proven to hold at most ``rows`` rows.
 
-    Parameter tables are known by the size of their files and cost no job.
+    Parameter tables, and tables written before, are known by the footers of
+    their files and cost no job; others are counted.
     """
-    estimate = _estimate(df)
-    if estimate is not None and estimate <= SMALL_BYTES:
-        return F.broadcast(df)
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+    known = _rows_on_file(df)
+    if known is None or known > rows:
+        known = df.limit(rows + 1).count()
+    return F.broadcast(df) if known <= rows else df
 
 
 @contextmanager

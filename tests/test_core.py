@@ -68,6 +68,9 @@ def test_session(spark, tmp_path, monkeypatch):
     df.write.parquet(str(tmp_path / "t"))
     small = spark.read.parquet(str(tmp_path / "t"))
     assert "broadcast" in session.bounded(small)._jdf.queryExecution().logical().toString().lower()
+    assert session._rows_on_file(small.where("a > 1").select("b")) == 2 and session._rows_on_file(small.groupBy("a").count()) is None
+    spark.range(20_000).withColumn("same", F.lit("x")).write.parquet(str(tmp_path / "long"))  # a small file of many rows
+    assert "broadcast" not in session.bounded(spark.read.parquet(str(tmp_path / "long")))._jdf.queryExecution().logical().toString().lower()
     many = spark.range(10**6).withColumn("x", F.lit("y" * 50))
     assert "broadcast" not in session.bounded(many)._jdf.queryExecution().logical().toString().lower()
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
